@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.storagelevel import StorageLevel
 
 
 def reused(df: DataFrame) -> DataFrame:
-    """``df`` kept after it was first computed, on disk where memory is short.
+    """``df`` computed once, written to the checkpoint folder and read from there.
 
-    Its lineage stays, so parts that are lost with an executor are computed again.
+    Plans that read it begin at the files, so they stay small, and nothing is lost with an executor. The folder is the
+    one in ``spark.checkpoint.dir`` that the cluster shares; a local one is made only where none is set, as in tests.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not at:
+            import tempfile
+
+            at = tempfile.mkdtemp(prefix="quillgraph-")
+        sc.setCheckpointDir(at)
+    return df.checkpoint()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
+from quillgraph.functions.reuse import reused
 
 
 def direction(link: str = "") -> Column:
@@ -94,7 +95,7 @@ def adjacency(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return e.unionByName(e.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, checkpoint=reused) -> DataFrame:
     """``(doc_id, id, component)``: the least id that is connected, by falling labels with pointer jumping.
 
     Each round is cut off by ``checkpoint``; the rounds grow as the logarithm of the longest path.
@@ -152,7 +153,7 @@ def select_view(nodes: DataFrame, links: DataFrame, mode: str = "core", componen
     return nodes.join(keep, ["doc_id", "id"], "left_semi"), kept_links
 
 
-def shortest_paths(links: DataFrame, asked: DataFrame, max_hops: int = 64, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
+def shortest_paths(links: DataFrame, asked: DataFrame, max_hops: int = 64, checkpoint=reused) -> DataFrame:
     """Shortest undirected paths for ``asked(doc_id, start, end)``: ``(doc_id, start, end, hops, path)``.
 
     A breadth-first search of all pairs at once: a frontier joins the links, nodes seen before are dropped, of several

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.reuse import reused
 from quillgraph.operators import graph as G
 from quillgraph.operators import query as Q
 from quillgraph.sources import catalog, documents, export
@@ -35,7 +36,7 @@ class GraphEngine:
         cache = self.store.read("llm_cache")
         cache = cache.where(F.col("model") == self.model) if cache is not None else None
         g = build(parsed.where("error is null"), self.settings, self.provider, self.model, cache)
-        nodes = g.nodes.persist()
+        nodes = reused(g.nodes)
         self.store.replace("nodes", nodes.select(*[c for c in nodes.columns if c != "doc_id"], "doc_id"))
         self.store.replace("links", g.links.select(*[c for c in g.links.columns if c != "doc_id"], "doc_id"))
         from quillgraph.operators.extraction import cache_rows
@@ -50,7 +51,6 @@ class GraphEngine:
             "error", F.coalesce("nc", F.lit(0)).cast("int").alias("node_count"), F.coalesce("ec", F.lit(0)).cast("int").alias("edge_count"), F.col("sj").alias("stats_json"), now.alias("created_at"), now.alias("updated_at"),
         )
         self.store.append("catalog", rows)
-        nodes.unpersist()
         return rows
 
     def documents(self) -> DataFrame | None:

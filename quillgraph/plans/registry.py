@@ -46,19 +46,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return _QUERIES["pair_scores"](spark, d)
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder the cluster shares; a local one is made only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not at:
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix="quillgraph-")
-        sc.setCheckpointDir(at)
-    return df.checkpoint()
-
-
 # Text functions.
 _add(
     "text_cleanup",
@@ -385,7 +372,7 @@ UNION SELECT nb.doc_id, nb.id FROM nb JOIN r ON r.doc_id = nb.doc_id AND r.id =
 _COMP = "WITH RECURSIVE " + W.NODES + ", " + W.LINKS + """, adj AS (SELECT doc_id, source AS a, target AS b FROM links WHERE source <> target UNION SELECT doc_id, target, source FROM links WHERE source <> target),
 reach AS (SELECT DISTINCT doc_id, id, id AS other FROM nodes UNION SELECT reach.doc_id, reach.id, adj.b FROM reach JOIN adj ON adj.doc_id = reach.doc_id AND adj.a = reach.other JOIN nodes x ON x.doc_id = adj.doc_id AND x.id = adj.b),
 lab AS (SELECT doc_id, id, min(other) AS component FROM reach GROUP BY doc_id, id)"""
-_add("components", lambda s, d: Q.components(T.nodes(s, d), T.links(s, d), _checkpoint), f"{_COMP} SELECT doc_id, id, component FROM lab")
+_add("components", lambda s, d: Q.components(T.nodes(s, d), T.links(s, d), reused), f"{_COMP} SELECT doc_id, id, component FROM lab")
 _SUMM = _COMP + f""", cn AS (SELECT doc_id, component, count(*) AS node_count, arg_min(id, rn) AS lead_node_id, arg_min(name, rn) AS lead_name FROM (SELECT n.*, component, row_number() OVER (PARTITION BY doc_id ORDER BY degree DESC, count DESC, name, id) AS rn FROM nodes n JOIN lab USING (doc_id, id)) GROUP BY ALL),
 cl AS (SELECT l.doc_id, s.component, count(*) AS edge_count, round(sum({_SIGNAL}), 6) AS signal, CAST(sum(weight) AS BIGINT) AS total_weight FROM links l JOIN lab s ON s.doc_id = l.doc_id AND s.id = l.source JOIN lab t ON t.doc_id = l.doc_id AND t.id = l.target WHERE s.component = t.component GROUP BY ALL),
 sm AS (SELECT doc_id, component, node_count, coalesce(edge_count, 0) AS edge_count, coalesce(signal, 0.0) AS signal, coalesce(total_weight, 0) AS total_weight, lead_node_id, lead_name FROM cn LEFT JOIN cl USING (doc_id, component)),
@@ -394,7 +381,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY signal DESC, no
 
 def _summary(s: SparkSession, d: str) -> DataFrame:
     n, l = T.nodes(s, d), T.links(s, d)
-    return Q.component_summary(n, l, Q.components(n, l, _checkpoint))
+    return Q.component_summary(n, l, Q.components(n, l, reused))
 
 
 _add(
@@ -406,7 +393,7 @@ _add(
 
 def _core(s: SparkSession, d: str) -> DataFrame:
     n, l = T.nodes(s, d), T.links(s, d)
-    return Q.select_view(n, l, "core", labels=Q.components(n, l, _checkpoint))[0].select("doc_id", "id")
+    return Q.select_view(n, l, "core", labels=Q.components(n, l, reused))[0].select("doc_id", "id")
 
 
 _add("view_core", _core, f"{_SUMM}, best AS (SELECT doc_id, component FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY edge_count > 0 DESC, rank) AS rn FROM rk) WHERE rn = 1) SELECT lab.doc_id, lab.id FROM lab JOIN best USING (doc_id, component)")
@@ -419,12 +406,12 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
 
 _add(
     "path_hops",
-    lambda s, d: Q.shortest_paths(T.links(s, d), _asked(s, d), checkpoint=_checkpoint).select("doc_id", "start", "end", "hops"),
+    lambda s, d: Q.shortest_paths(T.links(s, d), _asked(s, d), checkpoint=reused).select("doc_id", "start", "end", "hops"),
     "WITH RECURSIVE " + W.NODES + ", " + W.LINKS + """, adj AS (SELECT doc_id, source AS a, target AS b FROM links UNION SELECT doc_id, target, source FROM links), ask AS (SELECT doc_id, min(id) AS s, max(id) AS e FROM nodes GROUP BY doc_id),
 walk AS (SELECT doc_id, s AS at, 0 AS hops FROM ask UNION SELECT w.doc_id, adj.b, w.hops + 1 FROM walk w JOIN adj ON adj.doc_id = w.doc_id AND adj.a = w.at WHERE w.hops < 20)
 SELECT ask.doc_id, ask.s AS "start", ask.e AS "end", CAST(min(hops) AS INTEGER) AS hops FROM ask JOIN walk ON walk.doc_id = ask.doc_id AND walk.at = ask.e GROUP BY ALL""",
 )
-_add("path_links", lambda s, d: Q.path_links(Q.shortest_paths(T.links(s, d), _asked(s, d), checkpoint=_checkpoint), T.links(s, d)))
+_add("path_links", lambda s, d: Q.path_links(Q.shortest_paths(T.links(s, d), _asked(s, d), checkpoint=reused), T.links(s, d)))
 _add(
     "god_nodes",
     lambda s, d: Q.god_nodes(T.nodes(s, d)),
