@@ -175,6 +175,8 @@ def _sound(text: str, reader: str, i: int, j: int, original: str) -> bool:
     if reader in ("cp1251", "koi8_r", "cp866", "cp1253"):
         # Letters of the reader's own script stand beside each other by chance.
         return c in LETTERS and (before.isascii() and before.isalpha() or after.isascii() and after.isalpha()) or ord(c) >= 0x2000 and before.isascii() and after.isascii()
+    if reader not in ("cp1252", "cp1254") and not ((before.isascii() or not before) and (after.isascii() or not after)):
+        return False
     if ord(c) >= 0x3000:
         return not (before.isalpha() and before.isascii()) and not (after.isalpha() and after.isascii())
     if reader == "cp1252" and text[i] in "ÉÈÊÀÔÖÜÄÑÐÓÍÚ" and not (c in LETTERS and (after.isalpha() or before.isalpha() or not before.strip())):

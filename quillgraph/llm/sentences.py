@@ -91,7 +91,7 @@ _OPENERS = "“„«「『‹\"¿¡(["
 def _soft_breaks(text: str) -> set[int]:
     """Offsets of the line breaks that wrap a sentence.
 
-    A text is taken as wrapped if no line is longer than 110 characters and a line ends where the next word would no
+    A text is taken as wrapped if its longest line has 30 to 110 characters and a line ends where the next word would no
     longer have fitted; a break is soft where this is so and the line isn't closed by an end mark.
     """
     soft: set[int] = set()
@@ -101,7 +101,7 @@ def _soft_breaks(text: str) -> set[int]:
     width = max(map(len, lines))
     if width > 110 and len(lines) >= 12:
         width = sorted(map(len, lines))[int(0.96 * (len(lines) - 1))]  # a few long lines may stand among wrapped ones
-    if width > 110:
+    if not 30 <= width <= 110:
         return soft
     at = 0
     for i in range(len(lines) - 1):
