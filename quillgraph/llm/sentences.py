@@ -23,9 +23,9 @@ ABBREVIATIONS = set(
     """
     mr mrs ms dr prof rev hon col gen capt lt sgt st jr sr messrs no nos vol vols art arts sec secs fig figs p pp pg ch
     cf cfr approx ca al e.g i.e etc viz vs ltd inc co corp bros dept est univ inst assn assoc soc fdn fed dist off natl
-    council pub munic reg auth transp jan feb mar apr jun jul aug sep sept oct nov dec a.m p.m u.s u.k
+    pub munic reg auth transp jan feb mar apr jun jul aug sep sept oct nov dec a.m p.m u.s u.k
     hr fr frl str nr abs bd bzw usw z.b d.h u.a vgl s z b d h u a evtl ggf inkl jh jhd bspw sog zzt kap anm
-    m mme mlle mm me art env p.ex c.-à-d chap av bd éd cent n.b
+    m mme mlle mm me art env p.ex c.-à-d chap av bd éd n.b
     dra dr sra srta ee uu pág págs cap núm ud uds d dª dña aprox ej
     sig dott ing avv ecc
     г гг в вв т е д п гл рис ст табл проф др ул им стр руб т.е т.д т.п т.к см ср акад

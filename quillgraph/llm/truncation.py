@@ -36,6 +36,9 @@ _PAIRS = [("“", "”"), ("«", "»"), ("„", "“"), ("「", "」"), ("『",
 #: lower case or in a script without case, and no quotation or bracket in the value.
 _PLAIN_END = r"^[^“”«»„「」『』()（）\"…]*(?:[a-zß-öø-ÿа-яё]{4,}|[α-ωά-ώ]{4,}|[ء-ي]{3,}|[ऀ-ॿ]{2,}|[぀-ヿ一-鿿]{2,})[.!?。！？।؟]\s*$"
 
+#: Longer abbreviations would pass as such words.
+_LONG_ABBREVIATION = r"(?i)(?:^|[^\p{L}])(?:" + "|".join(sorted(re.escape(a) for a in ABBREVIATIONS if len(a) >= 4)) + r")\.\s*$"
+
 
 def lengths(text) -> list:
     """Expressions of the lengths in ``MEASURES``, in their order."""
@@ -175,7 +178,7 @@ def truncated(values: DataFrame, parsed: DataFrame, use_limits: bool = True) ->
     ``parsed(doc_id, text)`` has the documents that they quote.
     """
     v = values.where("text is not null and trim(text) <> ''").distinct()
-    some = v.where(~F.col("text").rlike(_PLAIN_END))
+    some = v.where(~F.col("text").rlike(_PLAIN_END) | F.col("text").rlike(_LONG_ABBREVIATION))
 
     doubtful = map_rows(
         some.select("record_table", "doc_id", "record_id", "source", "text"),
