@@ -156,5 +156,19 @@ def test_scan_noise(spark):
     assert "council approved the bridge across river harbour" in fixed and "ANNALS" not in fixed
 
 
+@pytest.mark.parametrize("long", ["91958;10523;4592;" * 380, "river council minutes " * 40])
+def test_scan_with_one_long_run(spark, long):
+    rows = scan_texts()
+    at = next(i for i, r in enumerate(rows) if r[0] == "p0")
+    rows[at] = ("p0", rows[at][1].replace("\n\n", f"\n\n{long}\n\n", 1), "pdf")
+    got = scans.scan_noise(spark.createDataFrame(rows, "doc_id string, text string, format string"), []).distinct().collect()
+    assert {(0, "header"), (12, "header"), (22, "header"), (3, "hyphen"), (3, "misread"), (4, "misread")} == {(r.line_no, r.noise) for r in got if r.doc_id == "p0"}
+
+
+def test_unwrapped_texts_are_no_scans():
+    assert not scans.wrapped("A short heading\n" + "A paragraph of one line that goes on and on. " * 8)
+    assert not scans.wrapped("\n".join(["Costs: 3", "Fees: 4", "Tolls: 5", "Rents: 6", "Sum: 18", "A paragraph of one line that goes on. " * 8]))
+
+
 def test_no_scans(spark):
     assert scans.scan_noise(spark.createDataFrame([], "doc_id string, text string, format string"), []).count() == 0
