@@ -92,6 +92,22 @@ def test_formulas_leak_nothing(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(2, 2)}
 
 
+@pytest.mark.parametrize("size", [1, 5000])
+def test_items_with_near_copies(spark, monkeypatch, size):
+    monkeypatch.setattr(leakage, "BLOCK_ITEMS", size)
+    items = [(1, ITEM), (2, ITEM.upper()), (3, ITEM + "!"), (4, ITEM.replace("pearls", "stones")), (5, ITEM.replace("pilot", "guide")), (6, "The " + ITEM)]
+    docs = spark.createDataFrame([(1, "Intro. " + ITEM), (2, "Nothing of the kind stands here.")], "doc_id bigint, text string")
+    got = leakage.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, i) for i in range(1, 7)}
+
+
+def test_a_long_interruption(spark):
+    words = ITEM.split()
+    docs = [(1, " ".join(words[:8]) + " (" + "other voices were heard " * 40 + ") " + " ".join(words[8:16])), (2, " ".join(words[:8])), (3, " ".join(words[8:16]) + " other voices were heard " * 40 + " ".join(words[:8]))]
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, ITEM)], "item_id bigint, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.start, r.end) for r in got] == [(1, 7, 0, len(docs[0][1]))]
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_ITEMS", 1)
     items = spark.createDataFrame([(1, ITEM), (2, "one two three four five six seven eight nine ten")], "item_id bigint, text string")
