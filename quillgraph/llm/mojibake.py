@@ -6,7 +6,7 @@ for all the readers; they stand in one Aho-Corasick automaton that scans a text
 reader and decoded as UTF-8, span by span, again if it had been garbled twice; text that is right is left as it is.
 Single-byte and East Asian encodings that were read in a single-byte one leave no such sequences: there, words with
 characters that no word holds at that place are decoded with every pair, and the pair that makes words of all of them is
-taken. What holds replacement characters, or can't be decoded to plain words, is reported without an original.
+taken. What holds replacement characters, or can't be decoded to plain words by any pair, is reported without an original.
 
 Defined cases: null and empty texts are not garbled; a text that is partly garbled is reported once; rows that repeat
 give one result.
@@ -29,6 +29,10 @@ READERS = ["cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp1250"
 LATIN = ["cp1252", "mac_roman", "cp850", "cp437", "cp1250"]
 #: What other scripts were written in.
 OTHER = ["cp1251", "koi8_r", "cp866", "iso8859_5", "iso8859_7", "cp1253", "cp1256", "iso8859_6", "gb18030", "big5", "shift_jis", "euc_jp", "euc_kr"]
+#: What Cyrillic text was written and read in.
+CYRILLIC = ["cp1251", "koi8_r", "cp866"]
+#: Signs that stand between letters in right text, too.
+SIGNS = set("×÷±−≤≥•™©®°†‡§¶·")
 # Letters of European languages beyond ASCII, marks that stand in running text, frequent Russian pairs.
 LETTERS = set("äöüßéèêëàâçîïôûùúíóáñãõøåæœðþłőűčžšśćńąęěřůýďťňğşıțșăżźđ" + "ÄÖÜÉÈÊËÀÂÇÎÏÔÛÙÚÍÓÁÑÃÕØÅÆŒÐÞŁŐŰČŽŠŚĆŃĄĘĚŘŮÝĎŤŇĞŞİȚȘĂŻŹĐ")
 USUAL = set("äöüßéèêàâçîôûúíóáñãøåæþðłőčžțÎÉÄÖÜÞÐØÂÅŁ")
@@ -222,7 +226,7 @@ _ODD = re.compile(
     r"(?<=[A-Za-zÀ-ÿ])[¡¿‰¸ˆ˙˚˛˝ˇ¯¨´˜¤¦¬£¥¢§¶†‡•™©®°±²³¹¼½¾÷×∂∑∏π∫Ω√∞≈∆≠≤≥◊ƒ„”‹Š‚ŽŸœ€‡−∙■░▒▓│┤├┼─└┬┴┐┌╖╣║╗╝╛┘█▄▌▐▀\x81-\x84\x86-\x9f]+(?=[a-zà-ÿ])"
     r"|(?<=[a-z])[ÀÁÂÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ„”ŠŽŸ‚](?=[a-z]|\b)|(?<![^\W\d_])[×∆¸‰„”¶§¿Š‚ŽŸ](?=[a-z]{2}[a-zà-ÿ]*)"
     r"|(?<=[A-ZÀ-Þ])[µ¶‰¸„”‡ƒ](?=[A-ZÀ-Þ])|(?<![^\W\d_])[¬](?=[a-z]{3})"
-    r"|(?<=[A-Za-z])[Ͱ-Ͽа-яА-Я](?=[a-z])|(?<=[a-z])[‰¸ˆ˙∞Ω∂√˘‚Š‡](?![^\W\d_])"
+    r"|(?<=[A-Za-z])[Ͱ-ϿЀ-џ№](?=[a-z])|(?<=[a-z])[‰¸ˆ˙∞Ω∂√˘‚Š‡](?![^\W\d_])"
 )
 _ODD_CYRILLIC = re.compile(r"[рсг][°±»µ¶§©®¬¤¦](?=[рсг])|[а-яА-Я][°±µ¶§©®¬¤¦](?=[а-я])|[A-Za-z]г[§©±¤¶ÿ°](?=[a-z])")
 _WORD_AT = re.compile(r"[^\s,;:()\[\]/]+")
@@ -232,10 +236,11 @@ _CYRILLIC = re.compile(r"[Ѐ-џ]{3,}")
 
 def _single_byte(text: str) -> tuple[str, str] | None:
     """(original, pair) of text of a single-byte or East Asian encoding, by its odd words; original "" where none fits."""
+    dead = False
     odd = {m.group() for o in _ODD.finditer(text) for m in [_word(text, o.start(), o.end())] if m}
     if odd:
         best = None
-        for reader in READERS[:5]:
+        for reader in READERS:
             table = to_bytes(reader)
             for source in LATIN:
                 if source == reader:
@@ -255,6 +260,8 @@ def _single_byte(text: str) -> tuple[str, str] | None:
                 return f if f and _latin_word(f) else w
 
             return _WORD_AT.sub(swap, text), f"{source} as {reader}"
+        # Signs that may stand between letters, as in 20m×30m, say nothing by themselves.
+        dead = any(not set(o.group()) <= SIGNS for o in _ODD.finditer(text))
     if _ODD_CYRILLIC.search(text):
         return "", "utf-8 as cp1251, letters made small"
     high = [m.group() for m in _HIGH.finditer(text)]
@@ -265,12 +272,17 @@ def _single_byte(text: str) -> tuple[str, str] | None:
     if cyrillic:
         now = _russian(cyrillic)
         if now < 0.12 and sum(map(len, cyrillic)) >= 6:
-            for reader, source in (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp1251", "iso8859_5")):
+            best = None
+            for reader in CYRILLIC:
                 table = to_bytes(reader)
-                fixed = [_recode(w, table, source) or "" for w in cyrillic]
-                if _russian(fixed) >= max(0.25, now + 0.15):
-                    return _CYRILLIC.sub(lambda m: _recode(m.group(), table, source) or m.group(), text), f"{source} as {reader}"
-    return None
+                for source in (*CYRILLIC, "iso8859_5"):
+                    if source != reader and (score := _russian([_recode(w, table, source) or "" for w in cyrillic])) >= max(0.25, now + 0.15) and (best is None or score > best[0]):
+                        best = (score, reader, source)
+            if best:
+                reader, source = best[1:]
+                table = to_bytes(reader)
+                return _CYRILLIC.sub(lambda m: _recode(m.group(), table, source) or m.group(), text), f"{source} as {reader}"
+    return ("", "unknown") if dead else None
 
 
 def _word(text: str, i: int, j: int) -> re.Match | None:
@@ -318,7 +330,7 @@ def _no_word(w: str) -> bool:
 
 def _other_script(text: str, strange: list[str]) -> tuple[str, str] | None:
     best = None
-    for reader in ("cp1252", "mac_roman", "cp437", "cp850"):
+    for reader in READERS:
         table = to_bytes(reader)
         for source in OTHER:
             got = [_recode(w, table, source) for w in strange]

@@ -115,6 +115,17 @@ def test_single_byte_and_dead_ends():
     assert bad and original == "Zoë and François – café"
 
 
+@pytest.mark.parametrize("reader", ["koi8_r", "cp866", "cp1253", "cp1251"])
+def test_every_reader_is_tried(reader):
+    garbled = "".join(chr(c) if c < 128 else mojibake._byte(reader, c) for c in "Gebührenordnung".encode("cp1252"))
+    assert mojibake.repair(f"Die {garbled} gilt")[:2] == (True, "Die Gebührenordnung gilt")
+
+
+def test_odd_words_that_no_pair_repairs():
+    assert mojibake.repair("the GebЖЖhren and Brβ¤ken of Lo¤¸th")[:2] == (True, None)
+    assert mojibake.repair("Müller®s a−b rule") == (False, None, "")
+
+
 def test_garbled_rows(spark):
     df = spark.createDataFrame([("a", "FranÃ§ois"), ("b", None), ("c", "François"), ("a", "FranÃ§ois")], ROW)
     assert {tuple(r) for r in mojibake.garbled(df, ["doc_id"], "text").collect()} == {("a", "François", "utf-8 as cp1252")}
