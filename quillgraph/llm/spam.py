@@ -5,7 +5,8 @@ link markup, tags, separators, function words and letters in sentences. A line-w
 is running prose, so a page that opens with a borrowed sentence still counts by what most of it is. Limits are set per
 language of the text, which is taken from its function words where ``lang`` is null or doubtful.
 
-Defined cases: a null, blank or very short text (fewer than ``MIN_WORDS`` words) is no spam; a copy of a page has the
+Defined cases: a null, blank or very short text (fewer than ``MIN_WORDS`` words, an address
+being one) is no spam; a copy of a page has the
 result of the page.
 """
 
@@ -35,6 +36,8 @@ _URL = re.compile(r"https?://\S+|www\.\S+")
 _TAG = re.compile(r"#\w+")
 _SEPARATOR = re.compile(r"[|·•»>;,/+*#]| - | – ")
 _NUMBERED = re.compile(r"\d+(?:/\d+|[.)])\s")
+#: A paper laid: its number of two parts, its title, perhaps its address.
+_PAPER = re.compile(r"\d+/\d+ [^\W\d_][^\[\]<>#]*?(?:: (?:https?://|www\.)\S+)?")
 _END = re.compile(r"[.!?…][\"”»“)]*(?:\s|$)")
 
 
@@ -48,8 +51,10 @@ def shares(text: str, lang: str | None) -> tuple:
     bare = _URL.sub(" ", low)
     words = _WORD.findall(bare)
     n = len(words)
-    if not n:
+    tokens = n + len(_URL.findall(low))
+    if not tokens:
         return (lang, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+    m_words = max(1, n)
     count = Counter(words)
     by = {k: sum(c for w, c in count.items() if w in v) for k, v in FUNCTION_WORDS.items()}
     best = max(by, key=by.get)
@@ -62,8 +67,8 @@ def shares(text: str, lang: str | None) -> tuple:
     lines = [x.strip() for x in low.split("\n") if x.strip()]
     duplicates = 1 - len(set(lines)) / len(lines)
     links = sum(len(x) for x in _LINK.findall(low)) / len(text)
-    tags = len(_TAG.findall(low)) / n
-    separators = len(_SEPARATOR.findall(bare)) / n
+    tags = len(_TAG.findall(low)) / m_words
+    separators = len(_SEPARATOR.findall(bare)) / m_words
     # Prose: words of sentences that end in an end mark and hold their share of function words.
     prose = 0
     for line in lines:
@@ -77,12 +82,12 @@ def shares(text: str, lang: str | None) -> tuple:
                 most = max((c for w, c in own.items() if w not in common), default=1)
                 if fun >= 0.15 * len(sentence) and most <= max(1, len(sentence) // 8):
                     prose += len(sentence)
-    return (lang, n, top, pair, by[lang] / n, duplicates, links, tags, separators, prose / n, len(count) / n, sum(bool(_NUMBERED.match(x)) for x in lines) / len(lines), sum(len(x.split()) <= 4 and x[-1] not in ".!?" for x in lines) / max(len(lines), 8))
+    return (lang, tokens, top, pair, by[lang] / m_words, duplicates, links, tags, separators, prose / m_words, len(count) / m_words, sum(bool(_NUMBERED.match(x)) for x in lines) / len(lines), sum(len(x.split()) <= 4 and x[-1] not in ".!?" for x in lines) / max(len(lines), 8))
 
 
-def is_spam(lang: str, n: int, top: float, pair: float, fun: float, duplicates: float, links: float, tags: float, separators: float, prose: float, distinct: float, numbered: float, menu: float) -> bool:
+def is_spam(lang: str, n: int, top: float, pair: float, fun: float, duplicates: float, links: float, tags: float, separators: float, prose: float, distinct: float, numbered: float, menu: float, papers: float = 0.0) -> bool:
     least_fun, most_top = LIMITS.get(lang, (0.2, 0.16))
-    if n < MIN_WORDS or (numbered > 0.5 and top < 0.25):  # papers and agenda items bear numbers
+    if n < MIN_WORDS:
         return False
     score = 0.0
     score += fun < 0.5 * least_fun
@@ -96,10 +101,18 @@ def is_spam(lang: str, n: int, top: float, pair: float, fun: float, duplicates:
     score += separators > 0.3
     score += 0.5 * (menu > 0.6)
     score -= 2 * (prose > 0.5)
+    # Papers and agenda items bear numbers; where links or tags outweigh them, only the form of papers tells them.
+    score -= 8 * (numbered > 0.5 and top < 0.25 and (links <= 0.4 and tags <= 0.3 or papers > 0.5))
     score -= 2 * (distinct > 0.45 and top <= 0.08 and pair <= 0.03 and links < 0.1 and tags < 0.05)  # lists of names
     return score >= 2
 
 
+def paper_lines(text: str) -> float:
+    """Share of the lines that list a paper."""
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    return sum(bool(_PAPER.fullmatch(x)) for x in lines) / max(1, len(lines))
+
+
 def spam_scores(df: DataFrame) -> DataFrame:
     """``df(doc_id, text, lang)`` with the shares and ``spam`` of every row."""
 
@@ -107,6 +120,6 @@ def spam_scores(df: DataFrame) -> DataFrame:
         if text is None:
             return []
         f = shares(text, lang)
-        return [(doc_id, *f, bool(is_spam(*f)))]
+        return [(doc_id, *f, bool(is_spam(*f, papers=paper_lines(text))))]
 
     return map_rows(df.select("doc_id", "text", "lang"), rows, FIELDS, NAMES)

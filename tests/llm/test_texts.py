@@ -207,3 +207,17 @@ def test_pack_rows(spark):
 def test_spam(spark, text, bad):
     df = spark.createDataFrame([(1, text, None), (2, text, "en")], "doc_id bigint, text string, lang string")
     assert {r.doc_id for r in spam.spam_scores(df).where("spam").collect()} == ({1, 2} if bad else set())
+
+
+@pytest.mark.parametrize(
+    ("text", "bad"),
+    [
+        ("\n".join(f"https://shop.test/lamp/{i}" for i in range(20)), True), ("Links\n" + "\n".join(f"https://shop.test/{i}" for i in range(20)), True),
+        ("\n".join(f"{i}. [{w} shop](https://x.test/{w}/{i})" for i, w in enumerate("lamp kettle table chair sofa oven grill clock".split() * 3)), True), ("\n".join(f"{i}. #lamp{i} #sale{i} #buy #price{i}" for i in range(1, 21)), True),
+        ("\n".join(f"{i}. https://shop.test/{i}" for i in range(1, 21)), True), ("https://a.test/x https://b.test/y", False),
+        ("Papers laid\n" + "\n".join(f"{i * 37}/{i} {w}: https://papers.{w[:4]}{i}.example/{i}.pdf" for i, w in enumerate(["School roofs", "Fishing quotas", "Question time", "Water tariffs", "Rail sidings bill"] * 3, 1)), False),
+    ],
+)
+def test_link_lists(spark, text, bad):
+    df = spark.createDataFrame([(1, text, None)], "doc_id bigint, text string, lang string")
+    assert spam.spam_scores(df).where("spam").count() == int(bad)
