@@ -85,10 +85,8 @@ def keywords(docs: DataFrame, max_keywords: int = 40, language: str = "en") -> D
     docs = docs.where("text is not null").select("doc_id", "text").distinct()
     w = terms(docs, stop_words(docs.sparkSession, language))
     p = phrase_scores(w, term_scores(w))
-    order = Window.partitionBy("doc_id").orderBy("score", "first", "phrase")
-    # Near copies are looked for among four times as many; the limit is a part of the method (the best 2 x max).
-    top = p.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= 4 * max_keywords)
-    g = top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rn", "phrase", "score"))).alias("p"))
+    # The limit is a part of the method (the best 2 x max); near copies are passed over until so many are kept.
+    g = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("score", "first", "phrase"))).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa

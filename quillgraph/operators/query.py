@@ -6,6 +6,8 @@ code point.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,12 +155,12 @@ def select_view(nodes: DataFrame, links: DataFrame, mode: str = "core", componen
     return nodes.join(keep, ["doc_id", "id"], "left_semi"), kept_links
 
 
-def shortest_paths(links: DataFrame, asked: DataFrame, max_hops: int = 64, checkpoint=reused) -> DataFrame:
+def shortest_paths(links: DataFrame, asked: DataFrame, max_hops: int | None = None, checkpoint=reused) -> DataFrame:
     """Shortest undirected paths for ``asked(doc_id, start, end)``: ``(doc_id, start, end, hops, path)``.
 
     A breadth-first search of all pairs at once: a frontier joins the links, nodes seen before are dropped, of several
     ways to a node the one through the earliest found parent and the earliest link is kept. Pairs without a path give no
-    row; a path of a node to itself has no hop.
+    row; a path of a node to itself has no hop. The search ends when no new node is reached, or after ``max_hops`` if given.
     """
     e = links.select("doc_id", F.col("source").alias("a"), F.col("target").alias("b"), "id")
     both = checkpoint(e.unionByName(e.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b"), "id")).where("a <> b").groupBy("doc_id", "a", "b").agg(F.min("id").alias("via")))
@@ -166,7 +168,7 @@ def shortest_paths(links: DataFrame, asked: DataFrame, max_hops: int = 64, check
     asked = asked.select(*keys).distinct()
     seen = checkpoint(asked.select(*keys, F.col("start").alias("node"), F.array("start").alias("path")))
     front = seen
-    for _ in range(max_hops):
+    for _ in count() if max_hops is None else range(max_hops):
         open_ = front.join(seen.where("node = end").select(*keys), keys, "left_anti")
         nxt = open_.withColumnRenamed("node", "a").join(both, ["doc_id", "a"]).join(seen.select(*keys, F.col("node").alias("b")), [*keys, "b"], "left_anti")
         nxt = nxt.groupBy(*keys, "b").agg(F.min(F.concat("path", F.array("b"))).alias("path"))

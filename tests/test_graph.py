@@ -160,3 +160,10 @@ def test_link_offsets(spark):
     rows = [("d", "1", "a", "b"), ("d", "2", "b", "a"), ("d", "3", "a", "c")]
     got = {r.id: round(r.offset, 2) for r in Q.link_offsets(spark.createDataFrame(rows, "doc_id string, id string, source string, target string")).collect()}
     assert got == {"1": -0.11, "2": 0.11, "3": 0.0}
+
+
+def test_paths_longer_than_64_hops(spark):
+    links = spark.createDataFrame([("d", f"l{i:02d}", f"n{i:02d}", f"n{i + 1:02d}") for i in range(66)], "doc_id string, id string, source string, target string")
+    asked = spark.createDataFrame([("d", "n00", "n66"), ("d", "n00", "nowhere")], "doc_id string, start string, end string")
+    got = Q.shortest_paths(links, asked).collect()
+    assert [(r.start, r.end, r.hops) for r in got] == [("n00", "n66", 66)]

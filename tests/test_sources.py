@@ -188,3 +188,10 @@ def test_stream_of_files(spark, tmp_path):
     run()
     run()
     assert seen == ["one two", "three"]
+
+
+def test_keywords_among_many_near_copies(spark):
+    near = ["".join("cd"[i >> b & 1] for b in range(6)) for i in range(64)]
+    text = " ".join(f"Harbourmasterregulation{x} rose." for x in near) + " Then zebra met lion near the river mill."
+    rows = K.keywords(spark.createDataFrame([("d", text)], "doc_id string, text string"), 2).collect()
+    assert len(rows) == 2
