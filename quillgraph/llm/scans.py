@@ -12,7 +12,8 @@ that are wrapped, and the text is put together again as paragraphs.
   padded trigrams with those of the corpus's words; a boosted ranking, trained on ``SAMPLE_WORDS`` words of the corpus
   to which confusions of characters were done, chooses the candidate or none.
 
-The corpus's words are counted over all other texts and names. Nothing but the two bounded samples goes to the driver.
+The corpus's words are counted over all other texts and names, the words of headers over all scans. The two bounded
+samples go to the driver, and the words of headers, which are a feature of the classifier.
 
 Defined cases: null and empty texts have no noise; a text that isn't wrapped is no scan, overlong lines of a wrapped
 one are neither headers nor page numbers, and their unbroken runs hold no words; a word without a candidate is misread
@@ -143,7 +144,7 @@ def furniture(lines: list[str], heads: frozenset[str], model: Boosted | None) ->
                 bare.append((i, int(s)))
         elif len(s) < 90 and (m := _NUMBERED.match(s)) and not _TABLE.match(m.group(2) or m.group(3)):
             out[i] = "header"
-        elif p.get(i, 0.0) > 0.5 and not x[i][8] and not x[i][11] and x[i][6] >= 0.4:
+        elif i in p and p[i] > (0.5 if x[i][6] >= 0.4 else 0.8) and not x[i][8] and not x[i][11] and (x[i][6] >= 0.4 or not x[i][7] and s[-1] not in HYPHENS + "–"):  # surer where words of headers are few
             out[i] = "header"
     heads_here = {folded[i] for i, k in out.items() if k == "header" and i in folded}
     for i, f in folded.items():  # copies of a header that were misread otherwise
@@ -326,6 +327,38 @@ def corrections(odd: DataFrame, words: DataFrame, model: Boosted | None) -> Data
     return ranked.groupBy("word").agg(F.max(F.struct("p", "right")).alias("x")).select("word", "x.right")
 
 
+def header_words(texts: DataFrame) -> frozenset[str]:
+    """Words of the numbered header lines of all scans of ``texts(text, format)``, three times as frequent there as in other lines.
+
+    Lines at the head of a text or after a blank line are counted, each word once a line.
+    """
+
+    def lines(text, kind):
+        all_lines = text.split("\n")
+        is_scan = kind == "pdf" and wrapped(text)
+        out: Counter[tuple[int, str]] = Counter()
+        for i, s in enumerate(map(str.strip, all_lines)):
+            if not 2 < len(s) < 90:
+                continue
+            if is_scan:
+                m = _NUMBERED.match(s)
+                f = fold_line(m.group(2) or m.group(3)) if m else ""
+            else:
+                f = fold_line(s) if i == 0 or not all_lines[i - 1].strip() else ""
+            if f:
+                out[int(is_scan), ""] += 1
+                out.update((int(is_scan), w) for w in set(f.split()) if len(w) > 2)
+        return [(k, w, n) for (k, w), n in out.items()]
+
+    each = map_rows(texts, lines, "label int, word string, n int", ["label", "word", "n"])
+    count = checkpointed(each.groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("neg")))
+    total = count.where("word = ''").first()
+    if total is None:
+        return frozenset()
+    least = F.greatest(F.lit(3.0), 3.0 * F.col("neg") * total["pos"] / max(1, total["neg"]))
+    return frozenset(r["word"] for r in count.where("word <> ''").where(F.col("pos") >= least).select("word").toLocalIterator())
+
+
 def scan_noise(parsed: DataFrame, other_texts: list[DataFrame]) -> DataFrame:
     """Noise lines of ``parsed(doc_id, text, format)``: (doc_id, line_no, noise, word, right).
 
@@ -357,9 +390,7 @@ def scan_noise(parsed: DataFrame, other_texts: list[DataFrame]) -> DataFrame:
     pick = checkpointed(map_rows(texts, lines, "label int, folded string, x array<double>", ["label", "folded", "x"])).withColumn("h", F.xxhash64("folded", F.col("x").cast("string"))).orderBy("h")
     pos = pick.where("label = 1").limit(SAMPLE_LINES // 4).collect()
     neg = pick.where("label = 0").limit(SAMPLE_LINES).collect()
-    count = Counter(w for r in pos for w in set(r["folded"].split()) if len(w) > 2)
-    against = Counter(w for r in neg for w in set(r["folded"].split()))
-    heads = frozenset(w for w, n in count.items() if n >= max(3, 3 * against[w] * len(pos) / max(1, len(neg))))
+    heads = header_words(parsed.where("format in ('pdf', 'txt') and text is not null").select("text", "format"))
     model = None
     if len(pos) >= 10 and len(neg) >= 10:
         share = lambda f: sum(w in heads for w in f.split()) / max(1, len(f.split()))

@@ -181,6 +181,24 @@ def test_scan_with_one_long_run(spark, long):
     assert {(0, "header"), (12, "header"), (22, "header"), (3, "hyphen"), (3, "misread"), (4, "misread")} == {(r.line_no, r.noise) for r in got if r.doc_id == "p0"}
 
 
+def test_header_words_are_counted_over_all_scans(spark):
+    rows = scan_texts()
+    body = rows[13][1].split("\n")[1:9]
+    for i in range(4):  # a family of headers of which the sample can lack lines
+        rows.append((f"z{i}", "\n".join(["7   Zephyr Quorn Gazette", *body, "", "9   Zephyr Quorn Gazette", *body]), "pdf"))
+    df = spark.createDataFrame(rows, "doc_id string, text string, format string")
+    heads = scans.header_words(df.where("format in ('pdf', 'txt') and text is not null").select("text", "format"))
+    assert {scans.fold_line(w) for w in ("zephyr", "quorn", "gazette", "minutes")} <= heads
+
+
+def test_share_of_header_words_is_no_gate():
+    class Sure:
+        probability = staticmethod(lambda x: [0.9] * len(x))
+
+    lines = ["Rare Unseen Title", "river council minutes approved bridge", "across the harbour"]
+    assert scans.furniture(lines, frozenset(), Sure())[0] == "header"
+
+
 def test_unwrapped_texts_are_no_scans():
     assert not scans.wrapped("A short heading\n" + "A paragraph of one line that goes on and on. " * 8)
     assert not scans.wrapped("\n".join(["Costs: 3", "Fees: 4", "Tolls: 5", "Rents: 6", "Sum: 18", "A paragraph of one line that goes on. " * 8]))
