@@ -1,11 +1,13 @@
 """Texts in containers of a fixed number of tokens (problem 7).
 
 Sizes are whole numbers up to the capacity, so the instance is a histogram of at most ``capacity`` rows however large
-the corpus is; only that histogram goes to the driver. There the Martello-Toth reduction fixes dominating sets (an item
-with which nothing fits; an item with the partner that fills its container; an item with the largest partner where no
-third would fit, or no two smaller ones weigh more than it), in bulk for equal sizes, and best fit decreasing packs the
-rest. The plan is a list of runs "items lo..hi of this size go to containers from c on"; documents are ranked within
-their size, over salted buckets so that a common size is no hot group, and look their container up.
+the corpus is; only that histogram goes to the driver. There the Martello-Toth reduction fixes sets that provably
+dominate all others that hold the same item, in bulk for equal sizes: an item with which nothing fits; an item with the
+partner that fills its container; and, where no three items fit beside it, an item with its largest partner if no two
+weigh more, or with its two largest partners if no other two could take their place. Best fit decreasing packs the rest.
+The plan is a list of runs "items lo..hi of this size go to containers from c on"; their number depends on the capacity,
+not on the number of documents. Documents are ranked within their size over salted buckets, whose number grows with the
+corpus so that neither a common size nor the long documents make a hot group, and look their container up.
 
 Defined cases: a text longer than a container is divided at multiples of the capacity, its full pieces take a container
 each and the rest is an item; a null or empty text is an item of no tokens, which goes to any container; rows that
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import base64
 from bisect import bisect_left, bisect_right, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.tiktoken"
-#: Runs that are sent to the executors as arrays (32 bytes each); a longer plan is joined instead.
-MAX_SENT_RUNS = 1_000_000
+#: Documents of a bucket; there are 32 buckets at least.
+BUCKET_ROWS = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -65,50 +69,69 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> list[tuple[tuple[i
     fixed: list[tuple[tuple[int, ...], int]] = []
     sizes = sorted(s for s, n in counts.items() if n > 0)
 
-    def take(s: int, n: int) -> None:
-        counts[s] -= n
-        if not counts[s]:
-            sizes.pop(bisect_left(sizes, s))
+    def fix(chosen: tuple[int, ...]) -> None:
+        need = Counter(chosen)
+        k = min(counts[s] // m for s, m in need.items())
+        fixed.append((chosen, k))
+        for s, m in need.items():
+            counts[s] -= m * k
+            if not counts[s]:
+                sizes.pop(bisect_left(sizes, s))
 
     for s in sorted(sizes, reverse=True):
-        while counts.get(s, 0) > 0:
-            room = capacity - s
-            n = counts[s]
-            i = bisect_right(sizes, room)  # sizes[:i] fit beside an item of size s
-            alone = i == 0 or (sizes[0] == s and n == 1 and i == 1)
-            if alone:
-                fixed.append(((s,), n))
-                take(s, n)
-                break
-            best = sizes[i - 1]
-            if best == s and n == 1:
-                best = sizes[i - 2]
-            own = best == s
-            if best == room or not _third_matters(sizes, counts, s, best, room):
-                k = n // 2 if own else min(n, counts[best])
-                if not k:
-                    break
-                fixed.append(((s, best), k))
-                take(s, 2 * k if own else k)
-                if not own:
-                    take(best, k)
-                continue
-            break
+        while counts.get(s, 0) > 0 and (chosen := _dominating(sizes, counts, s, capacity - s)):
+            fix(chosen)
     return fixed
 
 
-def _third_matters(sizes: list[int], counts: dict[int, int], s: int, best: int, room: int) -> bool:
-    """Do two items fit beside ``s`` that weigh more together than ``best``, the largest one that fits?"""
-    a = 0
-    b = bisect_right(sizes, room) - 1
+def _dominating(sizes: list[int], counts: dict[int, int], s: int, room: int) -> tuple[int, ...] | None:
+    """A set with an item of size ``s`` that no other set with it can beat, or None where none is proven to be one.
+
+    A set can't be beaten if what any other puts beside the item can take the places of what it puts there: then both
+    can be swapped in any packing.
+    """
+    left = lambda x: counts[x] - (x == s)
+    i = bisect_right(sizes, room) - 1
+    if i >= 0 and not left(sizes[i]):
+        i -= 1
+    if i < 0:
+        return (s,)
+    a = sizes[i]  # the largest item that fits
+    if a == room:
+        return (s, a)
+    three, weight = 3, 0
+    for x in sizes:
+        k = min(three, left(x))
+        three, weight = three - k, weight + k * x
+        if not three or weight > room:
+            break
+    if not three and weight <= room:
+        return None  # three or more may fit, which pairs alone don't rule out
+    if not _pair_beats(sizes, left, a, room):
+        return (s, a)
+    j = bisect_right(sizes, room - a) - 1
+    while j >= 0 and left(sizes[j]) - (sizes[j] == a) < 1:
+        j -= 1
+    if j < 0:
+        return None
+    b = sizes[j]  # the largest that fits beside both
+    two, weight = 2, 0
+    for x in sizes[j + 1 :]:
+        k = min(two, left(x))
+        two, weight = two - k, weight + k * x
+        if not two:
+            break
+    return (s, a, b) if two or weight > room else None
+
+
+def _pair_beats(sizes: list[int], left, best: int, room: int) -> bool:
+    """Do two items fit that weigh more together than ``best``?"""
+    a, b = 0, bisect_right(sizes, room) - 1
     while a <= b:  # the heaviest pair within the room, by two pointers
         x, y = sizes[a], sizes[b]
-        enough = counts[x] - (x == s) - (x == y) >= 1 and counts[y] - (y == s) >= 1
-        if x + y > room:
+        if x + y > room or left(y) < 1:
             b -= 1
-        elif not enough:
-            if a == b:
-                break
+        elif left(x) < 1 + (a == b):
             a += 1
         elif x + y > best:
             return True
@@ -173,43 +196,32 @@ def plan_containers(histogram: dict[int, int], capacity: int = CAPACITY) -> tupl
     return runs, containers
 
 
-def pack(df: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, buckets: int = 32) -> DataFrame:
+def pack(df: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, buckets: int | None = None) -> DataFrame:
     """``df(doc_id, text)`` as ``(doc_id, piece_no, pieces, tokens, token_start, container)``, one row per piece."""
     return _assign(token_counts(df, tokenizer), capacity, buckets)
 
 
-def _assign(counted: DataFrame, capacity: int, buckets: int) -> DataFrame:
-    spark = counted.sparkSession
-    counted = _cut(counted)
+def _assign(counted: DataFrame, capacity: int, buckets: int | None = None) -> DataFrame:
+    # Written once, so that counts and ranks are of the same rows and the tokenizer runs once.
+    counted = checkpointed(counted)
+    buckets = buckets or max(32, -(-counted.count() // BUCKET_ROWS))
     items = counted.select("doc_id", "tokens", (F.col("tokens") % capacity).alias("size"), F.floor(F.col("tokens") / capacity).alias("full"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
-    # At most capacity x buckets rows.
-    per = items.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("n_full"))
-    rows = per.collect()
-    histogram: dict[int, int] = defaultdict(int)
-    start: dict[tuple[int, int], int] = {}
-    for r in sorted(rows, key=lambda r: (r["size"], r["bucket"])):
-        start[r["size"], r["bucket"]] = histogram[r["size"]]
-        histogram[r["size"]] += r["n"]
+    per = checkpointed(items.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("n_full")))
+    histogram = {r["size"]: r["n"] for r in per.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     runs, containers = plan_containers(histogram, capacity)
-    # Full pieces are numbered after the planned containers, by bucket and then within it.
-    full_start, at = {}, containers
-    for b in range(buckets):
-        full_start[b] = at
-        at += sum(r["n_full"] for r in rows if r["bucket"] == b)
+    before = lambda c: F.coalesce(F.sum(c).over(Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = per.select("size", "bucket", before("n").alias("before"))
     w = Window.partitionBy("size", "bucket").orderBy("doc_id")
-    starts = spark.createDataFrame([(int(s), int(b), int(n)) for (s, b), n in start.items()] or [(-1, -1, 0)], "size bigint, bucket bigint, before bigint")
-    ranked = items.withColumn("rank", F.row_number().over(w) - 1).join(F.broadcast(starts), ["size", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
-    total = max(1, at)
-    if len(runs) <= MAX_SENT_RUNS:
-        last = ranked.withColumn("container", _lookup(runs)("size", "rank"))
-    else:
-        plan = spark.createDataFrame(runs, "size bigint, first bigint, n bigint, container_first bigint")
-        last = ranked.join(plan, "size", "left").where("size = 0 or rank between first and first + n - 1").withColumn("container", F.col("container_first") + F.col("rank") - F.col("first"))
+    ranked = items.withColumn("rank", F.row_number().over(w) - 1).join(starts, ["size", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    last = ranked.withColumn("container", _lookup(runs)("size", "rank"))
+    # Full pieces are numbered after the planned containers, by bucket (a row each) and then within it.
+    firsts = per.groupBy("bucket").agg(F.sum("n_full").alias("n")).withColumn("n", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + containers)
+    firsts = firsts.withColumnRenamed("n", "first_container")
+    total = max(1, containers)
     last = last.where("size > 0 or full = 0").select("doc_id", "tokens", "full", F.col("full").alias("piece_no"), (F.col("full") * capacity).alias("token_start"), F.when(F.col("size") > 0, F.col("container")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(total))).alias("container"), (F.col("size") > 0).cast("bigint").alias("more"))
     wf = Window.partitionBy("bucket").orderBy("doc_id")
-    firsts = spark.createDataFrame([(int(b), int(n)) for b, n in full_start.items()], "bucket bigint, first_container bigint")
     whole = items.where("full > 0").withColumn("before", F.sum("full").over(wf.rowsBetween(Window.unboundedPreceding, -1)))
-    whole = whole.join(F.broadcast(firsts), "bucket").withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)))
+    whole = whole.join(firsts, "bucket").withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)))
     whole = whole.select("doc_id", "tokens", "full", "piece_no", (F.col("piece_no") * capacity).alias("token_start"), (F.col("first_container") + F.coalesce("before", F.lit(0)) + F.col("piece_no")).alias("container"), (F.col("size") > 0).cast("bigint").alias("more"))
     both = last.unionByName(whole)
     size = F.least(F.lit(capacity), F.col("tokens") - F.col("token_start"))
@@ -235,13 +247,6 @@ def _lookup(runs: list[tuple[int, int, int, int]]):
     return container
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The rows written once, so that counts and ranks are of the same rows and the tokenizer runs once."""
-    from .common import checkpointed
-
-    return checkpointed(df)
-
-
 def container_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, tokens, the least number of containers possible, and the share of unused room."""
     per = packed.groupBy("container").agg(F.sum("tokens").alias("t"))
