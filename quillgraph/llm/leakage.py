@@ -5,14 +5,17 @@ automaton holds those of a block of items and scans every document once. Items o
 copies count as one where the texts that hold a gram are counted. Runs of ``FORMULA_WORDS`` words that ``SHARED`` texts or
 more hold, and that stand in documents mostly without their items, are procedural formulas; grams inside them stand in no
 automaton. The hits of a document and an item are chained in order; the gaps of a chain may hold replaced words, or an
-interruption on the document's side, and chains on both sides of a longer one add up. A document leaks an item if they
-span at least a third of the item's words other than formulas. Offsets are mapped back to the text.
+interruption on the document's side, and chains on both sides of a longer one add up. The ends of a passage are carried
+on word by word past single replaced words, which no gram spans. A document leaks an item if the passage spans at least a
+third of the item's words other than formulas. An item with fewer words than a gram is matched as a whole. Offsets are
+mapped back to the text.
 
 The items are the stated query set: they are read in blocks of ``BLOCK_ITEMS``, each block one automaton of bounded
 size, so nothing that grows with the corpus goes to the driver or to the executors.
 
-Defined cases: null and empty texts and items with fewer than ``GRAM`` words leak nothing; an item that is listed twice
-counts once; copies of a document leak what the document does.
+Defined cases: null texts and texts without words leak nothing; an item with fewer than ``GRAM`` words that stands in
+``SHARED`` item texts or more is a formula and leaks nothing; an item that is listed twice counts once; copies of a
+document leak what the document does.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from .names import components
 GRAM = 4
 FORMULA_WORDS, SHARED = 8, 3
 NEAR = 0.75  # share of their grams that near copies have in common
-SHARE = 0.3  # a third, less the words that are lost where one at an end of the passage is replaced
+SHARE = 1 / 3
 #: Most words that a replaced passage may hold between two hits of a chain, on either side, and what an interruption may
 #: add on the document's side.
 GAP, INTERRUPTION = 8, 60
@@ -66,6 +69,8 @@ class Items:
             for q, g in enumerate(grams(w, FORMULA_WORDS)):
                 if g in formulas:
                     formula[q : q + FORMULA_WORDS] = b"\1" * FORMULA_WORDS
+            if len(w) < GRAM:
+                self.grams[" ".join(w)].append((i, 0))
             for q, g in enumerate(grams(w, GRAM)):
                 if not all(formula[q : q + GRAM]):
                     self.grams[g].append((i, q))
@@ -85,7 +90,7 @@ class Items:
         a = ahocorasick.Automaton()
         for g, where in self.grams.items():
             rare = g not in self.common
-            a.add_word(f" {g} ", [(rare, i, q) for i, q in where])
+            a.add_word(f" {g} ", (g.count(" ") + 1, [(rare, i, q) for i, q in where]))
         if self.grams:
             a.make_automaton()
         return a
@@ -118,13 +123,33 @@ def chains(hits: list[tuple[int, int]], before: list[int]) -> list[list[tuple[in
     return out
 
 
-def passages(items: Items, hits: list[tuple[int, int, int, bool]]) -> list[tuple[int, float, int, int]]:
+def _carry_on(words: list[str], item: list[str], found: bytearray, p: int, q: int, step: int) -> int:
+    """Mark the item's words that follow a passage's end in a document, past single replaced ones; the last place in the document.
+
+    ``p`` and ``q`` are the first places beyond the end, ``step`` is 1 or -1.
+    """
+    last = p - step
+    while 0 <= q < len(item) and 0 <= p < len(words):
+        if words[p] == item[q]:
+            found[q] = 1
+        elif 0 <= q + step < len(item) and 0 <= p + step < len(words) and words[p + step] == item[q + step]:
+            found[q] = found[q + step] = 1
+            p, q = p + step, q + step
+        else:
+            break
+        last = p
+        p, q = p + step, q + step
+    return last
+
+
+def passages(items: Items, hits: list[tuple[int, int, int, bool]], flat: str) -> list[tuple[int, float, int, int]]:
     """(item, share of its words, first and last word in the document) of the best passage of each item.
 
     A passage is a chain, or chains that follow each other on the item's side whatever interrupts them in the document.
     Half of its words or more must stand in grams that two texts at most share, or ``SHARE`` of the item's words in such
     grams be among them: items are alike in phrases. Of an item that has no such grams, half must be found.
     """
+    words: list[str] = []
     by: dict[int, list[tuple[int, int]]] = defaultdict(list)
     own: dict[int, set[int]] = defaultdict(set)
     for p, item, q, rare in hits:
@@ -147,6 +172,9 @@ def passages(items: Items, hits: list[tuple[int, int, int, bool]]) -> list[tuple
             n_own = sum(found_own)
             if total_own and 2 * n_own < sum(found) and n_own < SHARE * total_own:
                 continue
+            words = words or flat.split()
+            first = _carry_on(words, items.words[item], found, c[0][0] - 1, c[0][1] - 1, -1)
+            end = _carry_on(words, items.words[item], found, c[-1][0] + GRAM, c[-1][1] + GRAM, 1)
             # Replaced words within the passage belong to it; a longer gap on the item's side does not.
             got, last = 0, None
             for q in range(len(found)):
@@ -157,7 +185,7 @@ def passages(items: Items, hits: list[tuple[int, int, int, bool]]) -> list[tuple
                     last = q
             share = got / max(1, total)
             if share > best[0] and (total_own or share >= 0.5):
-                best = (share, c[0][0], c[-1][0] + GRAM - 1)
+                best = (share, first, end)
         if best[0]:
             out.append((item, *best))
     return out
@@ -195,8 +223,13 @@ def leaks(documents: DataFrame, eval_items: DataFrame, share: float = SHARE) ->
 def item_texts(eval_items: DataFrame) -> DataFrame:
     """Different texts of the items, as their words, with the items that have them: ``(key, text, ids)``."""
     some = eval_items.where("item_id is not null and text is not null").select("item_id", "text")
-    words = map_rows(some, lambda i, t: [(i, " ".join(w))] if len(w := normal_words(t)) >= GRAM else [], "item_id bigint, text string", ["item_id", "text"])
-    return checkpointed(words.groupBy("text").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).select(F.xxhash64("text").alias("key"), "text", "ids"))
+    words = map_rows(some, lambda i, t: [(i, " ".join(w))] if (w := normal_words(t)) else [], "item_id bigint, text string", ["item_id", "text"])
+    texts = checkpointed(words.groupBy("text").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).select(F.xxhash64("text").alias("key"), "text", "ids"))
+    # Short texts that others hold as well are formulas.
+    short = texts.where(F.size(F.split("text", " ")) < GRAM).select(F.col("text").alias("gram"), F.col("key").alias("short"))
+    runs = map_rows(texts.select("key", "text"), lambda k, t: [(k, g) for n in range(1, GRAM) for g in sorted(set(grams(t.split(" "), n)))], "key bigint, gram string")
+    shared = runs.join(short, "gram").groupBy("short").agg(F.count_distinct("key").alias("n")).where(F.col("n") >= SHARED).select(F.col("short").alias("key"))
+    return texts.join(shared, "key", "left_anti")
 
 
 def shared_grams(texts: DataFrame) -> DataFrame:
@@ -318,11 +351,15 @@ def _document(items: Items, automaton, doc_id: int, text: str, share: float) ->
         return []
     # Words before an offset, counted on from the hit before.
     hits, at, n = [], 0, 0
-    for e, where in ends:
+    whole: dict[int, tuple[int, float, int, int]] = {}
+    for e, (size, where) in ends:
         n += flat.count(" ", at, e)
         at = e
-        hits.extend((n - GRAM, item, q, rare) for rare, item, q in where)
-    found = [x for x in passages(items, hits) if x[1] >= share]
+        if size < GRAM:
+            whole |= {item: (item, 1.0, n - size, n - 1) for _, item, _ in where if item not in whole}
+        else:
+            hits.extend((n - GRAM, item, q, rare) for rare, item, q in where)
+    found = [*whole.values(), *(x for x in passages(items, hits, flat) if x[1] >= share - 1e-9)]
     if not found:
         return []
     spans = [m.span() for m in _WORD.finditer(text)]

@@ -108,6 +108,27 @@ def test_a_long_interruption(spark):
     assert [(r.doc_id, r.item_id, r.start, r.end) for r in got] == [(1, 7, 0, len(docs[0][1]))]
 
 
+SHORT = [(1, "Sit down"), (2, "quite so"), (3, "Quite so!"), (4, "I say: quite so, my friend"), (5, "one two three four quite so"), (6, " – ")]
+
+
+@pytest.mark.parametrize(("text", "leaked"), [("Then: SIT\ndown, please.", {1}), ("sitdown; sit him down", set()), ("He said quite so.", set()), ("sit down", {1}), ("", set())])
+def test_items_shorter_than_a_gram(spark, text, leaked):
+    """Short items leak as a whole; those that three texts hold are formulas."""
+    got = leakage.leaks(spark.createDataFrame([(9, text), (8, None)], "doc_id bigint, text string"), spark.createDataFrame(SHORT, "item_id bigint, text string")).collect()
+    assert {r.item_id for r in got} == leaked and all(text[r.start : r.end].lower().split() == ["sit", "down"] for r in got)
+
+
+def test_a_third_with_replaced_words_near_its_ends(spark):
+    """Single words replaced so near an end that no gram holds what follows count as part of the passage; less than a third doesn't leak."""
+    item = [f"w{i}" for i in range(30)]
+    other = lambda part, *at: "x y " + " ".join("zz" if i in at else w for i, w in enumerate(part)) + " u v"
+    docs = [(1, other(item[5:15])), (2, other(item[5:15], 7)), (3, other(item[5:15], 1, 8)), (4, other(item[5:14])), (5, other(item[5:14], 3)), (6, other(item[:10], 2)), (7, other(item[20:], 7))]
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3, 6, 7}
+    text = dict(docs)
+    assert {r.doc_id: text[r.doc_id][r.start : r.end].split()[0] for r in got} == {1: "w5", 2: "w5", 3: "w5", 6: "w0", 7: "w20"}
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_ITEMS", 1)
     items = spark.createDataFrame([(1, ITEM), (2, "one two three four five six seven eight nine ten")], "item_id bigint, text string")
