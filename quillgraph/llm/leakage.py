@@ -6,7 +6,7 @@ copies count as one where the texts that hold a gram are counted. Runs of ``FORM
 more hold, and that stand in documents mostly without their items, are procedural formulas; grams inside them stand in no
 automaton. The hits of a document and an item are chained in order; the gaps of a chain may hold replaced words, or an
 interruption on the document's side, and chains on both sides of a longer one add up. The ends of a passage are carried
-on word by word past single replaced words, which no gram spans. A document leaks an item if the passage spans at least a
+on word by word past one replaced word, beyond which no gram may fit. A document leaks an item if the passage spans at least a
 third of the item's words other than formulas. An item with fewer words than a gram is matched as a whole. Offsets are
 mapped back to the text.
 
@@ -124,17 +124,18 @@ def chains(hits: list[tuple[int, int]], before: list[int]) -> list[list[tuple[in
 
 
 def _carry_on(words: list[str], item: list[str], found: bytearray, p: int, q: int, step: int) -> int:
-    """Mark the item's words that follow a passage's end in a document, past single replaced ones; the last place in the document.
+    """Mark the item's words that follow a passage's end in a document, past one replaced word; the last place in the document.
 
-    ``p`` and ``q`` are the first places beyond the end, ``step`` is 1 or -1.
+    ``p`` and ``q`` are the first places beyond the end, ``step`` is 1 or -1. Sentences of one form agree in every other
+    word or so, which is no passage; so no second word is passed.
     """
-    last = p - step
+    last, passed = p - step, False
     while 0 <= q < len(item) and 0 <= p < len(words):
         if words[p] == item[q]:
             found[q] = 1
-        elif 0 <= q + step < len(item) and 0 <= p + step < len(words) and words[p + step] == item[q + step]:
+        elif not passed and 0 <= q + step < len(item) and 0 <= p + step < len(words) and words[p + step] == item[q + step]:
             found[q] = found[q + step] = 1
-            p, q = p + step, q + step
+            p, q, passed = p + step, q + step, True
         else:
             break
         last = p
