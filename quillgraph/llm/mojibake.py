@@ -1,12 +1,15 @@
 """Text garbled by a wrong decoding (problem 3).
 
 For every pair of an encoding that the bytes had and one that they were read in, the garbled sequences are computed
-beforehand: of UTF-8 the two-character sequences and the first two of longer ones, each with its form in lower case,
-for all the readers; they stand in one Aho-Corasick automaton that scans a text once. A matched span is encoded with its
-reader and decoded as UTF-8, span by span, again if it had been garbled twice; text that is right is left as it is.
-Single-byte and East Asian encodings that were read in a single-byte one leave no such sequences: there, words with
-characters that no word holds at that place are decoded with every pair, and the pair that makes words of all of them is
-taken. What holds replacement characters, or can't be decoded to plain words by any pair, is reported without an original.
+beforehand. Of UTF-8 these are the two-character sequences and the first two of longer ones, each with its form in lower
+case, for all the readers, in one Aho-Corasick automaton; a matched span is encoded with its reader and decoded as
+UTF-8, span by span, again if it had been garbled twice. Of single-byte encodings read in another they are the
+characters that letters become, with the kinds of their neighbours where no word holds them, in a second automaton over
+the text in classes of letters; the words that hold a sequence vote for a pair, and they and the words with letters that
+their language lacks are decoded, while words that are right as they stand, in any language, are left. Pairs are tried
+one after the other until nothing garbled is left, so a text may be damaged in several ways. Other scripts that were
+read in a single-byte encoding and East Asian ones have too many sequences; their runs are decoded with every pair. What
+holds replacement characters, or what no pair decodes to plain words, is reported without an original.
 
 Defined cases: null and empty texts are not garbled; a text that is partly garbled is reported once; rows that repeat
 give one result.
@@ -15,6 +18,8 @@ give one result.
 from __future__ import annotations
 
 import re
+import string
+import unicodedata
 from collections import Counter
 from functools import lru_cache
 
@@ -36,6 +41,7 @@ SIGNS = set("×÷±−≤≥•™©®°†‡§¶·")
 # Letters of European languages beyond ASCII, marks that stand in running text, frequent Russian pairs.
 LETTERS = set("äöüßéèêëàâçîïôûùúíóáñãõøåæœðþłőűčžšśćńąęěřůýďťňğşıțșăżźđ" + "ÄÖÜÉÈÊËÀÂÇÎÏÔÛÙÚÍÓÁÑÃÕØÅÆŒÐÞŁŐŰČŽŠŚĆŃĄĘĚŘŮÝĎŤŇĞŞİȚȘĂŻŹĐ")
 USUAL = set("äöüßéèêàâçîôûúíóáñãøåæþðłőčžțÎÉÄÖÜÞÐØÂÅŁ")
+COMMON = set("äöüßéèêàâçîôûúíóáñãõ")
 MARKS = set("‘’“”„«»‹›…–—•°§¶©®™€£¥¼½¾±µ×÷√≈≤≥Ω¬№¿¡ ²³ªº·†‡")
 RUSSIAN_PAIRS = set("ст но то на ен ов ни ра во ко ал ер ро по ре пр го ли ос ли не ан та ор ка од ет ел ва ол те ла ти ам ом ом ло ат ле ри де ны ый ой ий до та ру ар ве ес об ак от вы дн ны бо за ог же уст ус ча фе кс".split())
 
@@ -192,15 +198,28 @@ _LOWER_FREE = "ãâåäæçéèêëìíîïðñòóôõöøùúûüýþß"
 
 
 @lru_cache(maxsize=1)
-def small_forms() -> dict[str, str]:
-    """Garbled sequences whose letters were made small, with what they stand for where that is one letter."""
+def small_forms() -> tuple[dict[str, str], re.Pattern]:
+    """Garbled sequences whose letters were made small, with what they stand for where that is one letter, and a pattern of words that hold one."""
     out: dict[str, set[str]] = {}
     for c in LETTERS | MARKS:
         raw = c.encode()
         for variant in (0, 1):
             g = "".join(chr(b) if variant and b < 160 else _byte("cp1252", b) for b in raw)
             out.setdefault(g.lower(), set()).add(c.lower())
-    return {g: x.pop() for g, x in out.items() if len(x) == 1 and len(g) > 1}
+    forms = {g: x.pop() for g, x in out.items() if len(x) == 1 and len(g) > 1}
+    return forms, re.compile("|".join(map(re.escape, sorted(forms, key=len, reverse=True))))
+
+
+def _small(text: str) -> str:
+    """Garbled sequences in small letters decoded, in the words that hold one of which the second character is no letter of a word."""
+    forms, pattern = small_forms()
+
+    def word(m: re.Match) -> str:
+        w = m.group()
+        sure = any(not g[1].isalpha() or g[1] in "ªºƒˆ" for g in pattern.findall(w))
+        return pattern.sub(lambda g: forms[g.group()], w) if sure else w
+
+    return re.sub(r"\S+", word, text)
 
 
 def _lowered(text: str, hits: list[tuple[int, int]]) -> int:
@@ -221,47 +240,147 @@ def _lowered(text: str, hits: list[tuple[int, int]]) -> int:
     return n
 
 
-_SYMBOL = "‰¸ˆ˙˚˛˝ˇ¯¨´˜¤¦¬£¥¢§¶†‡•™©®°±²³¹º¼½¾¿¡÷×∂∑∏π∫Ω√∞≈∆≠≤≥◊ﬁﬂıƒ„”“›‹«»ªµßþÞØøÆæŒœ∙■░▒▓│┤├┼─└┬┴┐┌╖╣║╗╝╛┘█▄▌▐▀"
-_ODD = re.compile(
-    r"(?<=[A-Za-zÀ-ÿ])[¡¿‰¸ˆ˙˚˛˝ˇ¯¨´˜¤¦¬£¥¢§¶†‡•™©®°±²³¹¼½¾÷×∂∑∏π∫Ω√∞≈∆≠≤≥◊ƒ„”‹Š‚ŽŸœ€‡−∙■░▒▓│┤├┼─└┬┴┐┌╖╣║╗╝╛┘█▄▌▐▀\x81-\x84\x86-\x9f]+(?=[a-zà-ÿ])"
-    r"|(?<=[a-z])[ÀÁÂÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ„”ŠŽŸ‚](?=[a-z]|\b)|(?<![^\W\d_])[×∆¸‰„”¶§¿Š‚ŽŸ](?=[a-z]{2}[a-zà-ÿ]*)"
-    r"|(?<=[A-ZÀ-Þ])[µ¶‰¸„”‡ƒ](?=[A-ZÀ-Þ])|(?<![^\W\d_])[¬](?=[a-z]{3})"
-    r"|(?<=[A-Za-z])[Ͱ-ϿЀ-џ№](?=[a-z])|(?<=[a-z])[‰¸ˆ˙∞Ω∂√˘‚Š‡](?![^\W\d_])"
-)
+#: Languages by their letters beyond ASCII.
+ALPHABETS = {
+    "fr": "éèêëàâçîïôûùœæÉÊÀÂÇÎÔŒ", "de": "äöüßÄÖÜé", "es": "áéíóúñüÁÉÍÓÚÑ", "pt": "ãõçáâàéêíóôúÁÂÉÓÚ", "nordic": "åäöøæéÅÄÖØÆ", "is": "áéíóúýðþæöÁÉÍÓÚÝÞÆÖ",
+    "pl": "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", "cs": "áčďéěíňóřšťúůýžÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ", "hu": "áéíóöőúüűÁÉÍÓÖŐÚÜŰ", "tr": "çğıöşüâÇĞİÖŞÜ", "ro": "ăâîșțşţĂÂÎȘȚ",
+}
+#: Characters that may stand between letters, and those that open or close a word.
+JOINERS = set("’‘–—…·“«»›‹ºª\xad\xa0")
+EDGES = MARKS | {"\xad"}
+OPENERS = set("“”„«»‹›¿¡‘’–—…•·°§©®™€£¥†‡\xa0\x85\xad")
+_SLAVIC = set("čřěňťďůćđ")
+_CLASSES = str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + string.punctuation + "\n\t\r", "a" * 26 + "A" * 26 + "0" * 10 + " " * (len(string.punctuation) + 3))
+
+
+def _impossible(before: str, g: str, after: str) -> bool:
+    """Can no word of right text hold a character between characters of these classes (small, capital, none)?"""
+    kind = unicodedata.category(g)
+    if kind in ("Ll", "Lu"):
+        if g >= "\u0370":
+            return before in "aA" and after == "a"  # a letter of another script
+        if kind == "Ll":
+            return before == after == "A" and g not in "ßı"
+        return before == "a"
+    inside = before in "aA" and after in "aA"
+    return g not in JOINERS and g != "\x85" and not (inside and g in "µ" and after == "A") if inside else g not in EDGES and g != "\x85"
+
+
+@lru_cache(maxsize=1)
+def odd_automaton():
+    """Garbled sequences of single-byte encodings, over texts in classes of letters: (length, the pairs that make it) by sequence.
+
+    For every pair a letter is read as another character; with its neighbours this is a sequence that can't be chance
+    where no word holds that character there. Two letters in a row make one together.
+    """
+    import ahocorasick
+
+    found: dict[str, set[tuple[str, str]]] = {}
+    small = sorted(c for c in USUAL if c.islower())
+    for reader in READERS:
+        for source in LATIN:
+            if source == reader:
+                continue
+            seen: dict[str, str] = {}
+            for c in sorted(LETTERS):
+                try:
+                    raw = c.encode(source)
+                except UnicodeEncodeError:
+                    continue
+                g = _byte(reader, raw[0])
+                if g == c or g < "\x80" or g in "ﬁﬂ":
+                    continue  # ligatures stand in right text
+                seen[c] = g
+                if g not in OPENERS and (not g.isalpha() or g >= "\u0370" and g != "μ") or g in "ŠŽŸ" and c.islower():
+                    found.setdefault(f" {g}aa", set()).add((reader, source))
+                for before, after in (("a", "a"), ("A", "a"), ("a", " "), (" ", "a")) if c.islower() else ((" ", "a"), ("A", "A"), ("A", " ")):
+                    if _impossible(before, g, after):
+                        found.setdefault(before + g + after, set()).add((reader, source))
+            for c in small:
+                for d in small:
+                    if c in seen and d in seen and (_impossible("a", seen[c], "a") or _impossible("a", seen[d], "a")):
+                        found.setdefault(f"a{seen[c]}{seen[d]}a", set()).add((reader, source))
+    a = ahocorasick.Automaton()
+    for g, pairs in found.items():
+        a.add_word(g, (len(g), frozenset(pairs)))
+    a.make_automaton()
+    return a
+
+
+def odd_words(text: str) -> dict[str, tuple[frozenset, bool]]:
+    """Words that hold a garbled sequence: the pairs that make one of them, and whether it stands for more than signs."""
+    out: dict[str, tuple[frozenset, bool]] = {}
+    slavic = not _SLAVIC.isdisjoint(text)
+    for e, (n, pairs) in odd_automaton().iter(f" {text.translate(_CLASSES)} "):
+        i = e - n + 1  # of the text, as one character was put before it
+        if slavic and text[i] in "ŠŽ":
+            continue  # a capital of the language
+        m = _word(text, i, i + n - 2)
+        if m:
+            w = m.group()
+            had = out.get(w, (frozenset(), False))
+            out[w] = (had[0] | pairs, had[1] or not set(text[i : i + n - 2]) <= SIGNS)
+    return out
+
+
 _ODD_CYRILLIC = re.compile(r"[рсг][°±»µ¶§©®¬¤¦](?=[рсг])|[а-яА-Я][°±µ¶§©®¬¤¦](?=[а-я])|[A-Za-z]г[§©±¤¶ÿ°](?=[a-z])")
 _WORD_AT = re.compile(r"[^\s,;:()\[\]/]+")
+#: Marks that stand alone, at the head of a word or within one only where another character was.
+_AMID = re.compile(r"(?<=[À-ÿŒœ])[¡¿‰¸ˆ˙˚˛˝ˇ¯¨´˜¤¦¬£¥¢§¶†‡•™©®±²³¹¼½¾∂∑∏π∫Ω√∞≈∆≠≤≥◊ƒ„‹‚€](?=[à-ÿœ])")
+#: A word between marks, and letters beside which they hardly stand: the sharp s follows a vowel, others come before one.
+_PLAIN_WORD = re.compile(r"[\W_]*[^\W\d_]+(?:['’\-·][^\W\d_]+)*[\W_]*$")
+_UNUSUAL = re.compile(r"(?:^|[^aeiouyäöüAEIOUYÄÖÜ])ß|œ(?![uicds])|õ(?!e)|ã(?![oes]|\b)")
+#: The sharp s follows a vowel.
+_SHARP = re.compile(r"(?:^|[^aeiouyäöüAEIOUYÄÖÜ])ß")
+_MISPLACED = re.compile(r"^[†‡¶€™‰ˆ˜¨¸÷×¬±√≈≤≥Ω¼½¾](?:[a-z]|$)|(?<=[^\W\d_])[„”‚“‡†ˆ‰](?=[^\W\d_])")
 _HIGH = re.compile(r"[^\x00-\x7fͰ-῿぀-鿿‐-‧가-힯]{3,}")
 _CYRILLIC = re.compile(r"[Ѐ-џ]{3,}")
 
 
-def _single_byte(text: str) -> tuple[str, str] | None:
-    """(original, pair) of text of a single-byte or East Asian encoding, by its odd words; original "" where none fits."""
-    dead = False
-    odd = {m.group() for o in _ODD.finditer(text) for m in [_word(text, o.start(), o.end())] if m}
+def _as_it_should_be(w: str) -> bool:
+    """Is a word one of a Western language as it stands: letters of one alphabet, more than one character, capitals at its head?"""
+    letters = [c for c in w if c.isalpha()]
+    far = {c for c in w if not c.isascii()} - MARKS
+    if not far or len(letters) < 2 or _MISPLACED.search(w) or _UNUSUAL.search(w) or not _PLAIN_WORD.match(w):
+        return False
+    return any(far <= set(ALPHABETS[k]) for k in ("fr", "de", "es", "pt", "nordic")) and (w.isupper() or not any(c.isupper() for c in letters[1:]))
+
+
+def _swapped(text: str, odd: dict, reader: str, source: str, first: bool) -> str:
+    """A text with the words of a pair decoded: those that hold a garbled sequence and, in the first pass, those that hold letters which the language of the former lacks.
+
+    Words that are right as they stand, in that language or another, are left. Where no such word stands in the text all
+    of it was garbled, marks too.
+    """
+    table = to_bytes(reader)
+    fixed = {w: f for w in set(_WORD_AT.findall(text)) if not w.isascii() and (f := _recode(w, table, source))}
+    sure = {w: f for w, f in fixed.items() if w in odd and _latin_word(f)}
+    if first:
+        got = Counter(c for f in sure.values() for c in f if c in LETTERS)
+        own = set(max(ALPHABETS.values(), key=lambda letters: sum(n for c, n in got.items() if c in letters)))
+        fits = lambda w: all(c.isascii() or c in own or c in MARKS for c in w) and not any(a.islower() and b.isupper() for a, b in zip(w, w[1:]))
+        if not any(_as_it_should_be(w) for w in fixed if w not in odd) and (whole := _recode(text, table, source)) and all(c.isascii() or c in LETTERS or c in MARKS for c in whole):
+            return whole
+        right = lambda w: fits(w) and not _MISPLACED.search(w)
+        sure |= {w: f for w, f in fixed.items() if w not in sure and any(c in own or c in "“”‘’„«»" for c in f) and not right(w) and right(f) and not _SHARP.search(f) and (len(w) > 1 or f in "àéóú") and not (w[0] in LETTERS and w[0].islower() and f[0].isupper())}
+    return _WORD_AT.sub(lambda m: sure.get(m.group(), m.group()), text)
+
+
+def _single_byte(text: str, first: bool = True) -> tuple[str, str] | None:
+    """(text with what a pair garbled decoded, that pair) of text of a single-byte or East Asian encoding; "" where no pair fits."""
+    odd = odd_words(text)
     if odd:
         best = None
-        for reader in READERS:
-            table = to_bytes(reader)
-            for source in LATIN:
-                if source == reader:
-                    continue
-                fixed = [_recode(w, table, source) for w in odd]
-                ok = [f for f in fixed if f and _latin_word(f)]
-                score = (len(ok), sum(c in USUAL for f in ok for c in f))
-                if ok and (best is None or score > best[0]):
-                    best = (score, reader, source)
+        for reader, source in sorted(frozenset().union(*(pairs for pairs, _ in odd.values()))):
+            fixed = [_recode(w, to_bytes(reader), source) for w in odd]
+            ok = [f for f in fixed if f and _latin_word(f)]
+            score = (len(ok), sum(c in COMMON for f in ok for c in f), sum(c in USUAL for f in ok for c in f), -READERS.index(reader), -LATIN.index(source))
+            if ok and (best is None or score > best[0]):
+                best = (score, reader, source)
         if best and best[0][0] >= max(1, 0.6 * len(odd)):
-            reader, source = best[1:]
-            table = to_bytes(reader)
-
-            def swap(m: re.Match) -> str:
-                w = m.group()
-                f = _recode(w, table, source) if _FREE.search(w) and not any(c in "’…–—" for c in w) else None
-                return f if f and _latin_word(f) else w
-
-            return _WORD_AT.sub(swap, text), f"{source} as {reader}"
-        # Signs that may stand between letters, as in 20m×30m, say nothing by themselves.
-        dead = any(not set(o.group()) <= SIGNS for o in _ODD.finditer(text))
+            return _swapped(text, odd, *best[1:], first), f"{best[2]} as {best[1]}"
+    # Signs that may stand between letters, as in 20m×30m, say nothing by themselves.
+    dead = any(sure for _, sure in odd.values()) or bool(_AMID.search(text))
     if _ODD_CYRILLIC.search(text):
         return "", "utf-8 as cp1251, letters made small"
     high = [m.group() for m in _HIGH.finditer(text)]
@@ -417,16 +536,19 @@ def repair(text: str | None) -> tuple[bool, str | None, str]:
         now = "".join(parts) + now[at:]
         pairs.append(f"utf-8 as {reader}")
     if lowered:
-        forms = small_forms()
-        now = re.compile("|".join(map(re.escape, sorted(forms, key=len, reverse=True)))).sub(lambda m: forms[m.group()], now)
+        now = _small(now)
         left = any(c in "ãâ" and not d.isalpha() and not d.isspace() for c, d in zip(now, now[1:]))
         return True, None if left or _DEAD.search(now) else now, ", ".join([*pairs, "utf-8 as cp1252, letters made small"])
-    if pairs:
-        return True, None if _DEAD.search(now) else now, ", ".join(pairs)
-    if "�" in text:
+    if not pairs and "�" in text:
         return True, None, "replacement characters"
-    if (x := _single_byte(text)) is not None:
-        return True, x[0] or None, x[1]
+    # What a single-byte pair garbled, pair by pair: parts of a text may have been read in several ways.
+    while (x := _single_byte(now, not any(' as ' in p and not p.startswith('utf-8') for p in pairs))) is not None:
+        pairs.append(x[1])
+        if not x[0] or x[0] == now:
+            return True, None, ", ".join(pairs)
+        now = x[0]
+    if pairs:
+        return True, None if _DEAD.search(now) or "�" in now else now, ", ".join(pairs)
     if _DEAD.search(text):
         return True, None, "control characters"
     return False, None, ""

@@ -316,7 +316,7 @@ def segment_join(strings: DataFrame, column: str = "s", k: int = EDITS) -> DataF
     probe = lambda s: [(x, s) for x in probe_keys(s, k)]
     left = map_rows(base, index, "key string, a string", ["key", "a"])
     right = map_rows(base, probe, "key string, b string", ["key", "b"])
-    pairs = left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = left.hint("merge").join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def verify(a, b):
         return [(a, b)] if edit_distance(a, b, allowed(min(len(a), len(b)), k)) is not None else []
