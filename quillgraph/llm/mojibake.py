@@ -326,7 +326,8 @@ def odd_words(text: str) -> dict[str, tuple[frozenset, bool]]:
 _ODD_CYRILLIC = re.compile(r"[рсг][°±»µ¶§©®¬¤¦](?=[рсг])|[а-яА-Я][°±µ¶§©®¬¤¦](?=[а-я])|[A-Za-z]г[§©±¤¶ÿ°](?=[a-z])")
 _WORD_AT = re.compile(r"[^\s,;:()\[\]/]+")
 #: Marks that stand alone, at the head of a word or within one only where another character was.
-_AMID = re.compile(r"(?<=[À-ÿŒœ])[¡¿‰¸ˆ˙˚˛˝ˇ¯¨´˜¤¦¬£¥¢§¶†‡•™©®±²³¹¼½¾∂∑∏π∫Ω√∞≈∆≠≤≥◊ƒ„‹‚€](?=[à-ÿœ])")
+_SIGN = "¡¿‰¸ˆ˙˚˛˝ˇ¯¨´˜¤¦¬£¥¢§¶†‡•™©®±²³¹¼½¾∂∑∏π∫Ω√∞≈∆≠≤≥◊ƒ„‹‚€"
+_AMID = re.compile(f"(?<=[À-ÿŒœ])[{_SIGN}](?=[à-ÿœ])|(?<=[A-Za-zÀ-ÿŒœ])[{_SIGN}Ͱ-ϿЀ-џ]{{2,}}(?=[a-zà-ÿœ])")
 #: A word between marks, and letters beside which they hardly stand: the sharp s follows a vowel, others come before one.
 _PLAIN_WORD = re.compile(r"[\W_]*[^\W\d_]+(?:['’\-·][^\W\d_]+)*[\W_]*$")
 _UNUSUAL = re.compile(r"(?:^|[^aeiouyäöüAEIOUYÄÖÜ])ß|œ(?![uicds])|õ(?!e)|ã(?![oes]|\b)")
