@@ -1,66 +1,77 @@
-"""Associations of names from how near each other they stand in a document."""
+"""Associations of names from how near each other they stand in a document.
+
+``held`` are units with the names that they hold as an array (``units.held_names``).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .units import pairs
+from quillgraph.functions.reuse import reused
+from quillgraph.functions.text import ustrip
+
+from .units import array_pairs
 
 WINDOW_CAP = 3  # windows overlap, so more of them say no more
 PARAGRAPH_CAP = 8  # a paragraph with more names links none
 MAX_EVIDENCE = 3
+TEXT = 300  # characters of an evidence text
 MIN_SCORE = 2
 DEGREE_CAP = 8
 
 
-def sentence_support(mentions: DataFrame) -> DataFrame:
-    """Units that hold both names: ``(doc_id, a, b, n)``."""
-    return pairs(mentions, ["doc_id", "unit_ord"]).groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+def window_members(held: DataFrame, size: int = 2) -> DataFrame:
+    """Names by the start of every sliding window of ``size`` units that covers them, ``(doc_id, start, n_units, found)``; no window in shorter documents."""
+    starts = F.sequence(F.greatest(F.lit(0), F.col("unit_ord") - (size - 1)), F.least(F.col("unit_ord"), F.col("n_units") - size))
+    m = held.where(F.col("n_units") >= size).select("doc_id", "n_units", F.explode(starts).alias("start"), "found")
+    return m.groupBy("doc_id", "start").agg(F.max("n_units").alias("n_units"), _together("found"))
 
 
-def window_members(mentions: DataFrame, units: DataFrame, size: int = 2) -> DataFrame:
-    """Names by the start of every sliding window of ``size`` units that covers them; no window in shorter documents."""
-    per = units.select("doc_id", "n_units").distinct()
-    m = mentions.join(per, "doc_id").where(F.col("n_units") >= size)
-    starts = F.sequence(F.greatest(F.lit(0), F.col("unit_ord") - (size - 1)), F.least(F.col("unit_ord"), F.col("n_units") - size))
-    return m.select("doc_id", F.explode(starts).alias("start"), "name").distinct()
+def paragraph_members(held: DataFrame) -> DataFrame:
+    """Names of the paragraphs that hold no more than the cap, with the place of the first unit: ``(doc_id, paragraph_index, first, n_units, found)``."""
+    g = held.groupBy("doc_id", "paragraph_index").agg(F.max("n_units").alias("n_units"), F.min(F.col("unit_ord") - F.col("sentence_index")).alias("first"), _together("found"))
+    return g.where(F.size("found") <= PARAGRAPH_CAP)
 
 
-def window_support(mentions: DataFrame, units: DataFrame, size: int = 2) -> DataFrame:
-    """Windows that hold both names, up to the cap: ``(doc_id, a, b, n)``."""
-    p = pairs(window_members(mentions, units, size), ["doc_id", "start"])
-    return p.groupBy("doc_id", "a", "b").agg(F.least(F.lit(WINDOW_CAP), F.count(F.lit(1))).alias("n"))
+def _together(column: str):
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))).alias(column)
+
 
+def _counted(pairs_: DataFrame) -> DataFrame:
+    return pairs_.groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
-def paragraph_members(mentions: DataFrame) -> DataFrame:
-    """Names of the paragraphs that hold no more than the cap."""
-    m = mentions.select("doc_id", "paragraph_index", "name").distinct()
-    few = m.groupBy("doc_id", "paragraph_index").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= PARAGRAPH_CAP)
-    return m.join(few.select("doc_id", "paragraph_index"), ["doc_id", "paragraph_index"], "left_semi")
 
+def sentence_support(held: DataFrame) -> DataFrame:
+    """Units that hold both names: ``(doc_id, a, b, n)``."""
+    return _counted(array_pairs(held, ["doc_id"]))
 
-def paragraph_support(mentions: DataFrame) -> DataFrame:
-    return pairs(paragraph_members(mentions), ["doc_id", "paragraph_index"]).groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
+def window_support(held: DataFrame, size: int = 2) -> DataFrame:
+    """Windows that hold both names, up to the cap: ``(doc_id, a, b, n)``."""
+    return _counted(array_pairs(window_members(held, size), ["doc_id"])).withColumn("n", F.least(F.lit(WINDOW_CAP), "n"))
 
-def pair_scores(mentions: DataFrame, units: DataFrame, size: int = 2, min_score: int = MIN_SCORE) -> DataFrame:
+
+def paragraph_support(held: DataFrame) -> DataFrame:
+    return _counted(array_pairs(paragraph_members(held), ["doc_id"]))
+
+
+def pair_scores(held: DataFrame, size: int = 2, min_score: int = MIN_SCORE) -> DataFrame:
     """Qualified pairs with their supports and score 4 x sentences + 2 x windows + paragraphs.
 
-    The three supports are summed in one aggregation of their union, so each pair is shuffled once. A pair qualifies by
-    a sentence, by windows (two in documents of more than twenty units) or by two paragraphs.
+    The three supports are counted in one aggregation of the union of the pairs, combined before the shuffle. A pair
+    qualifies by a sentence, by windows (two in documents of more than twenty units) or by two paragraphs.
     """
-    parts = [(sentence_support(mentions), "s"), (window_support(mentions, units, size), "w"), (paragraph_support(mentions), "p")]
-    one = None
-    for df, kind in parts:
-        x = df.withColumn("kind", F.lit(kind))
-        one = x if one is None else one.unionByName(x)
-    total = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).cast("bigint")
-    s = one.groupBy("doc_id", "a", "b").agg(total("s").alias("sentence_support"), total("w").alias("window_support"), total("p").alias("paragraph_support"))
-    s = s.join(units.select("doc_id", "n_units").distinct(), "doc_id")
+    keys = ["doc_id", "n_units"]
+    parts = [(held, "s"), (window_members(held, size), "w"), (paragraph_members(held), "p")]
+    one = reduce(DataFrame.unionByName, (array_pairs(df, keys).withColumn("kind", F.lit(k)) for df, k in parts))
+    n = lambda k: F.count_if(F.col("kind") == k)
+    s = one.groupBy("doc_id", "a", "b").agg(F.max("n_units").alias("n_units"), n("s").alias("sentence_support"), n("w").alias("w"), n("p").alias("paragraph_support"))
+    s = s.withColumn("window_support", F.least(F.lit(WINDOW_CAP).cast("bigint"), "w"))
     s = s.withColumn("weight", 4 * F.col("sentence_support") + 2 * F.col("window_support") + F.col("paragraph_support"))
     least = F.when(F.col("n_units") <= 20, 1).otherwise(2)
     ok = (F.col("weight") >= min_score) & ((F.col("sentence_support") > 0) | (F.col("window_support") >= least) | (F.col("paragraph_support") >= 2))
@@ -68,29 +79,39 @@ def pair_scores(mentions: DataFrame, units: DataFrame, size: int = 2, min_score:
     return s.select("doc_id", F.col("a").alias("source"), F.col("b").alias("target"), "weight", "support_count", "sentence_support", "window_support", "paragraph_support")
 
 
-def window_texts(units: DataFrame) -> DataFrame:
-    """Windows of two units: ``(doc_id, start, paragraph_index, sentence_index, text)`` at the place of the first."""
-    a = units.select("doc_id", F.col("unit_ord").alias("start"), "paragraph_index", "sentence_index", F.col("text").alias("t1"))
-    b = units.select("doc_id", (F.col("unit_ord") - 1).alias("start"), F.col("text").alias("t2"))
-    return a.join(b, ["doc_id", "start"]).select("doc_id", "start", "paragraph_index", "sentence_index", F.concat_ws(" ", "t1", "t2").alias("text"))
-
+def place_texts(units: DataFrame) -> DataFrame:
+    """What evidence quotes, to ``TEXT`` characters: ``(doc_id, place, kind, paragraph_index, sentence_index, text)``.
 
-def paragraph_texts(units: DataFrame) -> DataFrame:
-    """Units of each paragraph joined by spaces; a unit that equals the text before it isn't repeated."""
-    g = units.groupBy("doc_id", "paragraph_index").agg(F.array_sort(F.collect_list(F.struct("sentence_index", "text"))).alias("s"))
+    A unit, a window of two units at the place of the first, and a paragraph at the place of its first unit; in a
+    paragraph a unit that equals the text before it isn't repeated. Places are ordinals of units.
+    """
+    u = units.select("doc_id", "unit_ord", "paragraph_index", "sentence_index", F.substring(ustrip(F.col("text")), 1, TEXT).alias("text"))
+    w = Window.partitionBy("doc_id").orderBy("unit_ord")
+    both = u.withColumn("next", F.lead("text").over(w))
+    cut = lambda c: F.substring(c, 1, TEXT).alias("text")
+    single = both.select("doc_id", F.col("unit_ord").alias("place"), F.explode(F.array(F.struct(F.lit("s").alias("kind"), "text"), F.when(F.col("next").isNotNull(), F.struct(F.lit("w").alias("kind"), cut(F.concat_ws(" ", "text", "next")))))).alias("x"), "paragraph_index", "sentence_index")
+    single = single.where("x is not null").select("doc_id", "place", "x.kind", "paragraph_index", "sentence_index", "x.text")
+    g = u.groupBy("doc_id", "paragraph_index").agg(F.min(F.col("unit_ord") - F.col("sentence_index")).alias("place"), F.array_sort(F.collect_list(F.struct("sentence_index", "text"))).alias("s"))
     joined = F.aggregate(F.transform("s", lambda x: x["text"]), F.lit(None).cast("string"), lambda acc, t: F.when(acc.isNull() | (acc == t), t).otherwise(F.concat_ws(" ", acc, t)))
-    return g.select("doc_id", "paragraph_index", joined.alias("text"))
+    return single.unionByName(g.select("doc_id", "place", F.lit("p").alias("kind"), "paragraph_index", F.lit(0).alias("sentence_index"), cut(joined)))
 
 
-def pair_evidence(mentions: DataFrame, units: DataFrame) -> DataFrame:
-    """The first places of each pair: ``(doc_id, source, target, evidence)``, an array of (paragraph, sentence, text)."""
-    s = pairs(mentions, ["doc_id", "unit_ord"]).join(units.select("doc_id", "unit_ord", "paragraph_index", "sentence_index", "text"), ["doc_id", "unit_ord"]).drop("unit_ord")
-    w = pairs(window_members(mentions, units), ["doc_id", "start"]).join(window_texts(units), ["doc_id", "start"]).drop("start")
-    p = pairs(paragraph_members(mentions), ["doc_id", "paragraph_index"]).join(paragraph_texts(units), ["doc_id", "paragraph_index"]).withColumn("sentence_index", F.lit(0))
-    from quillgraph.functions.text import ustrip
+def pair_evidence(held: DataFrame, units: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """The first places of each pair: ``(doc_id, source, target, evidence)``, an array of (paragraph, sentence, text).
 
-    item = F.struct("paragraph_index", "sentence_index", F.substring(ustrip(F.col("text")), 1, 300).alias("text"))
-    both = s.unionByName(w).unionByName(p).select("doc_id", F.col("a").alias("source"), F.col("b").alias("target"), item.alias("item"))
+    Only pairs of ``links(doc_id, source, target)`` where given. A place has three texts at most, so those of the first
+    three places hold the first three items; only these places get their texts.
+    """
+    window = window_members(held).withColumnRenamed("start", "place")
+    paragraph = paragraph_members(held).withColumnRenamed("first", "place")
+    parts = [(held.withColumnRenamed("unit_ord", "place"), "s"), (window, "w"), (paragraph, "p")]
+    one = reduce(DataFrame.unionByName, (array_pairs(df, ["doc_id", "place"]).withColumn("kind", F.lit(k)) for df, k in parts))
+    if links is not None:
+        one = one.join(links.select("doc_id", F.col("source").alias("a"), F.col("target").alias("b")), ["doc_id", "a", "b"], "left_semi")
+    w = Window.partitionBy("doc_id", "a", "b").orderBy("place")
+    first = one.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= MAX_EVIDENCE).drop("r")
+    item = F.struct("paragraph_index", "sentence_index", "text").alias("item")
+    both = first.join(place_texts(units), ["doc_id", "place", "kind"]).select("doc_id", F.col("a").alias("source"), F.col("b").alias("target"), item)
     return both.groupBy("doc_id", "source", "target").agg(F.slice(F.array_sort(F.collect_set("item")), 1, MAX_EVIDENCE).alias("evidence"))
 
 
@@ -122,10 +143,10 @@ def greedy_links(scored: DataFrame, cap: int = DEGREE_CAP) -> DataFrame:
     return ordered.mapInArrow(run, scored.schema)
 
 
-def association_edges(mentions: DataFrame, units: DataFrame) -> DataFrame:
+def association_edges(held: DataFrame, units: DataFrame) -> DataFrame:
     """Association edges of documents with their evidence, ready to be merged with others."""
-    links = greedy_links(pair_scores(mentions, units))
-    e = links.join(pair_evidence(mentions, units), ["doc_id", "source", "target"], "left")
+    links = reused(greedy_links(pair_scores(held)))
+    e = links.join(pair_evidence(held, units, links), ["doc_id", "source", "target"], "left")
     item = lambda x: F.struct(
         x["text"].alias("text"), F.lit("cooccurrence").alias("source"), F.lit(None).cast("int").alias("chunk_index"), x["paragraph_index"].alias("paragraph_index"), x["sentence_index"].alias("sentence_index")
     )
@@ -134,5 +155,3 @@ def association_edges(mentions: DataFrame, units: DataFrame) -> DataFrame:
         "doc_id", "source", "target", F.lit("co-occurs with").alias("relation"), F.lit("undirected").alias("direction"), F.lit("association").alias("kind"), F.lit("cooccurrence").alias("tag"),
         "weight", "support_count", "sentence_support", "window_support", "paragraph_support", F.coalesce(F.get(evidence, F.lit(0))["text"], F.lit("")).alias("snippet"), evidence.alias("evidence"),
     )
-
-

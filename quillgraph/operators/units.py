@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
@@ -92,20 +92,42 @@ def paragraph_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(X.paragraphs(F.col("text"))).alias("paragraph_index", "text"))
 
 
+_NOISE = re.compile(X.NOISE_LINE.removeprefix("(?i)"), re.I | re.A)
+_FRAGMENT = re.compile(r"(?<=[.!?])\s+|\n+")
+
+
+def text_units(text: str) -> list[tuple[int, int, str]]:
+    """(paragraph, sentence, text) of the link units of a text; lines of forms are dropped before units are numbered."""
+    out = []
+    for i, paragraph in enumerate(filter(None, map(str.strip, _SPACE.split(text)))):
+        j = 0
+        for f in map(str.strip, _FRAGMENT.split(paragraph)):
+            if f and not (_NOISE.match(f) and len(f.split()) <= 6):
+                out.append((i, j, f))
+                j += 1
+    return out
+
+
 def units(docs: DataFrame) -> DataFrame:
     """Link units: ``(doc_id, unit_ord, paragraph_index, sentence_index, text, n_units)``.
 
-    Lines of forms are dropped before units are numbered. The numbers come from the arrays themselves, so no row is
-    shuffled; a document is one row until the end.
+    Texts are cut in Arrow batches, one pass each, and numbered on the way, so no row is shuffled. Null texts have none.
     """
-    numbered = F.transform(
-        X.paragraphs(F.col("text")),
-        lambda p, i: F.transform(
-            F.filter(X.fragments(p), lambda f: ~X.noise_line(f)), lambda f, j: F.struct(i.alias("paragraph_index"), j.alias("sentence_index"), f.alias("text"))
-        ),
-    )
-    flat = docs.select("doc_id", F.flatten(numbered).alias("u"))
-    return flat.select("doc_id", F.size("u").alias("n_units"), F.posexplode("u").alias("unit_ord", "x")).select("doc_id", "unit_ord", "x.paragraph_index", "x.sentence_index", "x.text", "n_units")
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+    names = ["doc_id", "unit_ord", "paragraph_index", "sentence_index", "text", "n_units"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = text_units(t) if t else []
+                rows += [(d, k, i, j, f, len(found)) for k, (i, j, f) in enumerate(found)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "doc_id string, unit_ord int, paragraph_index int, sentence_index int, text string, n_units int")
 
 
 def candidate_names(names: DataFrame) -> DataFrame:
@@ -114,22 +136,73 @@ def candidate_names(names: DataFrame) -> DataFrame:
     return n.where((F.char_length("name") >= 3) & ~F.col("name").rlike(r"(?U)^[0-9\W]+$") & X.usable_name(F.col("name"))).distinct()
 
 
-def mentions(units_: DataFrame, names: DataFrame) -> DataFrame:
-    """Units with the names that they hold: ``(doc_id, unit_ord, paragraph_index, name)``, joined on ``doc_id``."""
-    u = units_.withColumn("low", F.lower("text"))
-    return u.join(names, "doc_id").where(X.in_text(F.col("name"), F.col("low"))).select("doc_id", "unit_ord", "paragraph_index", "name")
+_EDGE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def occurrences(name: str, low: str, most: int = 1 << 62) -> int:
+    """How often a lower-case text holds a name without overlaps, up to ``most``: a word between boundaries, a phrase anywhere."""
+    if " " in name:
+        return min(most, low.count(name))
+    n, at = 0, low.find(name)
+    while at >= 0 and n < most:
+        end = at + len(name)
+        if (at and low[at - 1] in _EDGE) or (end < len(low) and low[end] in _EDGE):
+            at = low.find(name, at + 1)
+        else:
+            n += 1
+            at = low.find(name, end)
+    return n
+
+
+def names_of_documents(names: DataFrame) -> DataFrame:
+    """Names as an array per document; a document has some tens."""
+    return names.where("name is not null and name <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def _search(frame: DataFrame, keys: list[str], count: bool = False) -> DataFrame:
+    """``frame(keys, low, names)``: its keys with the names that ``low`` holds as ``found``, rows without any left out; with ``count`` all names and how often."""
+    kinds = {f.name: f.dataType.simpleString() for f in frame.select(*keys).schema}
+    found = "found array<struct<name:string,n:bigint>>" if count else "found array<string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("name", pa.string()), ("n", pa.int64())])) if count else pa.list_(pa.string())
+        for b in batches:
+            out = []
+            for low, names in zip(b.column("low").to_pylist(), b.column("names").to_pylist()):
+                out.append([{"name": x, "n": occurrences(x, low)} for x in names] if count else [x for x in names if x in low and occurrences(x, low, 1)])
+            done = pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(out, kind)], [*keys, "found"])
+            yield done.filter(pa.array([bool(x) for x in out]))
+
+    return frame.select(*keys, "low", "names").mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), found]))
+
+
+def held_names(units_: DataFrame, names: DataFrame) -> DataFrame:
+    """Units with the names that they hold, sorted, as an array: ``(doc_id, unit_ord, paragraph_index, sentence_index, n_units, found)``.
+
+    A document's names come to its units as one array, and each unit is searched for all of them in one step; units
+    without any are left out.
+    """
+    keys = ["doc_id", "unit_ord", "paragraph_index", "sentence_index", "n_units"]
+    return _search(units_.select(*keys, F.lower("text").alias("low")).join(names_of_documents(names), "doc_id"), keys)
+
+
+def mentions(held: DataFrame) -> DataFrame:
+    """A row per name of a unit: ``(doc_id, unit_ord, paragraph_index, name)``."""
+    return held.select("doc_id", "unit_ord", "paragraph_index", F.explode("found").alias("name"))
 
 
 def names_in_documents(docs: DataFrame, names: DataFrame) -> DataFrame:
     """The names that their document holds."""
-    d = docs.select("doc_id", F.lower("text").alias("low"))
-    return names.join(d, "doc_id").where(X.in_text(F.col("name"), F.col("low"))).select("doc_id", "name").distinct()
+    d = docs.select("doc_id", F.lower("text").alias("low")).where("low is not null").join(names_of_documents(names), "doc_id")
+    return _search(d, ["doc_id"]).select("doc_id", F.explode("found").alias("name")).distinct()
 
 
 def keyword_counts(docs: DataFrame, names: DataFrame) -> DataFrame:
     """How often each name stands in its document."""
-    d = docs.select("doc_id", F.lower("text").alias("low"))
-    return names.join(d, "doc_id").select("doc_id", "name", X.count_in_text(F.col("name"), F.col("low")).cast("bigint").alias("n"))
+    d = docs.select("doc_id", F.lower("text").alias("low")).where("low is not null").join(names_of_documents(names), "doc_id")
+    return _search(d, ["doc_id"], count=True).select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.name", "x.n")
 
 
 def without_llm_names(keywords: DataFrame, llm_names: DataFrame) -> DataFrame:
@@ -147,18 +220,19 @@ def pairs(members: DataFrame, group: list[str]) -> DataFrame:
 
     Groups are units, windows and paragraphs of one document; the names of each are a small set.
     """
-    g = members.groupBy(*group).agg(F.array_sort(F.collect_set("name")).alias("s")).where(F.size("s") > 1)
-    both = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return g.select(*group, F.explode(both).alias("p")).select(*group, "p.a", "p.b")
+    g = members.groupBy(*group).agg(F.array_sort(F.collect_set("name")).alias("found"))
+    return array_pairs(g, group)
+
+
+def array_pairs(groups: DataFrame, group: list[str]) -> DataFrame:
+    """The same from groups with their sorted names in ``found``."""
+    first = groups.where(F.size("found") > 1).select(*group, "found", F.posexplode("found").alias("i", "a"))
+    return first.select(*group, "a", F.explode(F.slice("found", F.col("i") + 2, F.size("found"))).alias("b"))
 
 
 def chunk_cooccurrence(chunks_: DataFrame, names: DataFrame, min_weight: int = 2) -> DataFrame:
     """Pairs of names by the number of chunks that hold both: ``(doc_id, source, target, weight)``."""
-    c = chunks_.select("doc_id", "chunk_index", F.lower("text").alias("low"))
-    held = c.join(names, "doc_id").where(X.in_text(F.col("name"), F.col("low"))).select("doc_id", "chunk_index", "name")
-    out = pairs(held, ["doc_id", "chunk_index"]).groupBy("doc_id", F.col("a").alias("source"), F.col("b").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
+    c = chunks_.select("doc_id", "chunk_index", F.lower("text").alias("low")).where("low is not null").join(names_of_documents(names), "doc_id")
+    held = array_pairs(_search(c, ["doc_id", "chunk_index"]), ["doc_id", "chunk_index"])
+    out = held.groupBy("doc_id", F.col("a").alias("source"), F.col("b").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
     return out.where(F.col("weight") >= min_weight)
-
-
-def by_document(order: list, partition: str = "doc_id") -> Window:
-    return Window.partitionBy(partition).orderBy(*order)

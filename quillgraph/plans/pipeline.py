@@ -55,7 +55,7 @@ def build(docs: DataFrame, settings: Settings | None = None, provider: Callable[
         kw = units.without_llm_names(kw, llm_e.select("doc_id", "name"))
     cand = units.candidate_names(kw.select("doc_id", "name").unionByName(llm_e.select("doc_id", "name")))
     u = reused(units.units(docs))
-    m = reused(units.mentions(u, cand))
+    m = reused(units.held_names(u, cand))
     assoc = with_order(locality.association_edges(m, u)).withColumn("original_relation", F.lit(None).cast("string")).withColumn("tags", F.lit(None).cast("array<string>"))
     assoc = reused(assoc.drop("sentence_support", "window_support", "paragraph_support"))
     entities, edges = merge.merge_all(llm_e, llm_r, kw, assoc)

@@ -155,25 +155,33 @@ def _cand(s: SparkSession, d: str) -> DataFrame:
     return U.candidate_names(T.table(s, d, "keywords"))
 
 
-def _mentions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Mentions and units; several supports read both."""
-    u = reused(U.units(T.docs(s, d)))
-    return reused(U.mentions(u, _cand(s, d))), u
+def _units(s: SparkSession, d: str) -> DataFrame:
+    return reused(U.units(T.docs(s, d)))
+
+
+def _held(s: SparkSession, d: str, u: DataFrame | None = None) -> DataFrame:
+    """Units with their names; several supports read them."""
+    return reused(U.held_names(U.units(T.docs(s, d)) if u is None else u, _cand(s, d)))
+
+
+def _pair_evidence(s: SparkSession, d: str) -> DataFrame:
+    u = _units(s, d)
+    return L.pair_evidence(_held(s, d, u), u)
 
 
 _add("candidate_names", _cand, f"WITH {W.NAMES} SELECT doc_id, name FROM cand")
 _add("keyword_counts", lambda s, d: U.keyword_counts(T.docs(s, d), _cand(s, d)), f"WITH {W.DOCS}, {W.NAMES} SELECT c.doc_id, name, CAST({W.occurrences('name', 'lower(text)')} AS BIGINT) AS n FROM cand c JOIN docs USING (doc_id)")
-_add("mentions", lambda s, d: _mentions(s, d)[0], f"WITH {W.MENTIONS} SELECT doc_id, unit_ord, paragraph_index, name FROM mentions")
+_add("mentions", lambda s, d: U.mentions(U.held_names(U.units(T.docs(s, d)), _cand(s, d))), f"WITH {W.MENTIONS} SELECT doc_id, unit_ord, paragraph_index, name FROM mentions")
 _add("doc_name_semi", lambda s, d: U.names_in_documents(T.docs(s, d), _cand(s, d)), f"WITH {W.DOCS}, {W.NAMES} SELECT DISTINCT c.doc_id, name FROM cand c JOIN docs USING (doc_id) WHERE {W.has_name('name', 'lower(text)')}")
 _add(
     "cooccurrence_chunks",
     lambda s, d: U.chunk_cooccurrence(_chunks(s, d), _cand(s, d)),
     f"WITH {W.PARAGRAPHS}, {W.NAMES}, h AS (SELECT p.doc_id, paragraph_index AS i, name FROM paras p JOIN cand c ON p.doc_id = c.doc_id WHERE {W.has_name('name', 'lower(text)')}) SELECT a.doc_id, a.name AS source, b.name AS target, count(*) AS weight FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.i = b.i AND a.name < b.name GROUP BY ALL HAVING count(*) >= 2",
 )
-_add("support_sentence", lambda s, d: L.sentence_support(_mentions(s, d)[0]), f"WITH {W.SUPPORT} SELECT doc_id, a, b, n FROM sent")
-_add("support_window", lambda s, d: L.window_support(*_mentions(s, d)), f"WITH {W.SUPPORT} SELECT doc_id, a, b, n FROM win")
-_add("support_paragraph", lambda s, d: L.paragraph_support(_mentions(s, d)[0]), f"WITH {W.SUPPORT} SELECT doc_id, a, b, n FROM para")
-_add("pair_scores", lambda s, d: L.pair_scores(*_mentions(s, d)), f"WITH {W.SCORES} SELECT * FROM scored")
+_add("support_sentence", lambda s, d: L.sentence_support(_held(s, d)), f"WITH {W.SUPPORT} SELECT doc_id, a, b, n FROM sent")
+_add("support_window", lambda s, d: L.window_support(_held(s, d)), f"WITH {W.SUPPORT} SELECT doc_id, a, b, n FROM win")
+_add("support_paragraph", lambda s, d: L.paragraph_support(_held(s, d)), f"WITH {W.SUPPORT} SELECT doc_id, a, b, n FROM para")
+_add("pair_scores", lambda s, d: L.pair_scores(_held(s, d)), f"WITH {W.SCORES} SELECT * FROM scored")
 _EVID = W.SUPPORT + f""", ptext AS (SELECT doc_id, paragraph_index, string_agg(text, ' ' ORDER BY sentence_index) AS text FROM units GROUP BY ALL),
 ev0 AS (SELECT m.doc_id, m.name AS a, n.name AS b, u.paragraph_index, u.sentence_index, u.text FROM mentions m JOIN mentions n ON m.doc_id = n.doc_id AND m.unit_ord = n.unit_ord AND m.name < n.name JOIN units u ON u.doc_id = m.doc_id AND u.unit_ord = m.unit_ord
 UNION ALL SELECT w.doc_id, w.a, w.b, u.paragraph_index, u.sentence_index, u.text || ' ' || v.text FROM winp w JOIN units u ON u.doc_id = w.doc_id AND u.unit_ord = w.start JOIN units v ON v.doc_id = w.doc_id AND v.unit_ord = w.start + 1
@@ -182,10 +190,10 @@ ev1 AS (SELECT DISTINCT doc_id, a, b, paragraph_index, sentence_index, left({W.s
 ev2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a, b ORDER BY paragraph_index, sentence_index, text) AS rn FROM ev1)"""
 _add(
     "pair_evidence",
-    lambda s, d: L.pair_evidence(*_mentions(s, d)).select("doc_id", "source", "target", F.posexplode("evidence").alias("i", "e")).select("doc_id", "source", "target", "i", "e.paragraph_index", "e.sentence_index", F.md5("e.text").alias("digest")),
+    lambda s, d: _pair_evidence(s, d).select("doc_id", "source", "target", F.posexplode("evidence").alias("i", "e")).select("doc_id", "source", "target", "i", "e.paragraph_index", "e.sentence_index", F.md5("e.text").alias("digest")),
     f"WITH {_EVID} SELECT doc_id, a AS source, b AS target, CAST(rn - 1 AS INTEGER) AS i, paragraph_index, sentence_index, md5(text) AS digest FROM ev2 WHERE rn <= 3",
 )
-_add("links_capped", lambda s, d: L.greedy_links(L.pair_scores(*_mentions(s, d))))
+_add("links_capped", lambda s, d: L.greedy_links(L.pair_scores(_held(s, d))))
 _LLM = f"llm AS (SELECT DISTINCT doc_id, {W.keyword_key('name')} AS llm FROM graph_nodes WHERE list_contains(sources, 'llm'))"
 _add(
     "keyword_anti_llm",
