@@ -1,11 +1,13 @@
 """Text functions on columns: names, relations, units, tokens, ids and formats.
 
-All are built-in expressions, so they run in generated code. White space is Unicode's wherever a text is stripped or
+All are built-in expressions, evaluated in the JVM. White space is Unicode's wherever a text is stripped or
 collapsed; ``WS`` is spelt out so that other engines can use the same class.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,11 +91,17 @@ def normalize_relation(relation: Column) -> Column:
     return _trimmed(collapse(F.lower(ustrip(F.coalesce(relation, F.lit(""))))), TRIM)
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value computed once, however often the function uses it, also where a filter is pushed down."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def usable_name(name: Column) -> Column:
     """Can a name teach a concept? False for fragments of tables and for names without a Latin letter."""
-    n = normalize_name(name)
-    w = words(n)
-    has = lambda values: F.exists(w, lambda x: x.isin(values))
+    return let(normalize_name(name), lambda n: let(words(n), lambda w: _usable(n, w)))
+
+
+def _usable(n: Column, w: Column) -> Column:
     noisy = F.size(F.filter(w, lambda x: x.isin(NOISE_WORDS)))
     phrase = F.lit(False)
     for p in NOISE_PHRASES:
@@ -102,7 +110,7 @@ def usable_name(name: Column) -> Column:
         (F.char_length(n) < 2)
         | phrase
         | (F.size(w) > 6)
-        | ((F.size(w) >= 5) & has(DESCRIPTOR_WORDS))
+        | ((F.size(w) >= 5) & F.arrays_overlap(w, F.array(*map(F.lit, DESCRIPTOR_WORDS))))
         | ((F.size(w) > 1) & F.get(w, F.lit(0)).isin(BAD_FIRST_WORDS))
         | ((F.size(w) >= 3) & (noisy >= 2))
     )
@@ -111,19 +119,21 @@ def usable_name(name: Column) -> Column:
 
 def keyword_accepted(phrase: Column) -> Column:
     """Is a phrase kept as a keyword? The form words count once however often they stand in it."""
-    n = normalize_keyword(phrase)
-    w = F.array_distinct(words(n))
-    in_ = lambda values: F.size(F.filter(w, lambda x: x.isin(values)))
+    return let(normalize_keyword(phrase), lambda n: let(words(n), lambda w: _accepted(n, w) & usable_name(n)))
+
+
+def _accepted(n: Column, w: Column) -> Column:
+    listed = lambda values: F.size(F.array_intersect(w, F.array(*map(F.lit, values))))
     bad = (
         (F.char_length(n) < 3)
-        | (F.size(words(n)) > 6)
-        | ((F.size(w) == 1) & (in_(KEYWORD_NOISE) == 1))
-        | (in_(KEYWORD_FORM) > 0)
-        | ((in_(["schedule"]) > 0) & (in_(["service", "routine"]) == 0))
-        | ((F.size(w) >= 2) & (in_(KEYWORD_NOISE) >= 2))
+        | (F.size(w) > 6)
+        | ((F.size(F.array_distinct(w)) == 1) & (listed(KEYWORD_NOISE) == 1))
+        | (listed(KEYWORD_FORM) > 0)
+        | ((listed(["schedule"]) > 0) & (listed(["service", "routine"]) == 0))
+        | ((F.size(F.array_distinct(w)) >= 2) & (listed(KEYWORD_NOISE) >= 2))
         | n.rlike(r"(?U)^[0-9\W]+$")
     )
-    return ~bad & usable_name(n)
+    return ~bad
 
 
 def noise_line(fragment: Column) -> Column:

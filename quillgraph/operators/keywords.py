@@ -1,9 +1,18 @@
-"""Keywords ranked by the statistics of a document's own terms (Campos et al. 2020)."""
+"""Keywords ranked by the statistics of a document's own terms (Campos et al. 2020).
+
+All that the ranking needs stands in the document itself, which is one row; so a document is ranked in one pass over its
+text in an Arrow batch; only its candidates, some tens, are shuffled to be filtered and numbered.
+"""
 
 from __future__ import annotations
 
+import math
+import re
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from statistics import fmean, median, pstdev
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,106 +20,157 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
 
+from .units import occurrences
+
 NGRAM = 3
 SIMILAR = 0.9
-#: Languages of Spark's stop word lists.
-LANGUAGES = {"en": "english", "de": "german", "fr": "french", "es": "spanish"}
+#: Languages with a list of stop words in Spark.
+LANGUAGES = {
+    "da": "danish", "de": "german", "en": "english", "es": "spanish", "fi": "finnish", "fr": "french", "hu": "hungarian", "it": "italian", "nl": "dutch", "no": "norwegian", "pt": "portuguese", "ru": "russian",
+    "sv": "swedish", "tr": "turkish",
+}
 
-_WORD = r"[\p{L}\p{N}][\p{L}\p{N}'’\-]*"
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_WORD = re.compile(r"[^\W_][^\W_'’\-]*(?:['’\-]+[^\W_]*)*")
+#: Punctuation around keywords, as in their normal form.
+_OUTER = ".,;:!?()[]{}'\"“”‘’"
+_NO_TERM = re.compile(r"[\d\W]+")
 
 
-def stop_words(spark, language: str = "en") -> list[str]:
+def stop_words(language: str = "en") -> frozenset[str]:
     from pyspark.ml.feature import StopWordsRemover
 
-    return StopWordsRemover.loadDefaultStopWords(LANGUAGES.get(language, "english"))
-
-
-def terms(docs: DataFrame, stops: list[str]) -> DataFrame:
-    """Words in place: ``(doc_id, sentence, pos, word, low, stop)``; stop words and numbers are no terms."""
-    s = docs.select("doc_id", F.posexplode(F.split(F.col("text"), rf"(?<=[.!?])[{X.WS}]+|\n+")).alias("sentence", "t"))
-    w = s.select("doc_id", "sentence", F.posexplode(F.regexp_extract_all("t", F.lit(_WORD), F.lit(0))).alias("pos", "word"))
-    w = w.withColumn("low", F.lower("word"))
-    return w.withColumn("stop", F.col("low").isin(stops) | (F.char_length("low") < 3) | F.col("low").rlike(r"^[\d\W]+$"))
-
-
-def term_scores(words: DataFrame) -> DataFrame:
-    """Score of every term of a document, low for the telling ones: casing, place, frequency, company, spread."""
-    w = Window.partitionBy("doc_id", "sentence").orderBy("pos")
-    x = words.withColumn("left", F.lag("low").over(w)).withColumn("right", F.lead("low").over(w))
-    upper = (F.char_length("word") > 1) & (F.upper("word") == F.col("word")) & F.col("word").rlike(r"\p{L}")
-    proper = F.substring("word", 1, 1).rlike(r"\p{Lu}") & (F.col("pos") > 0)
-    t = x.groupBy("doc_id", "low").agg(
-        F.count(F.lit(1)).alias("tf"), F.count_if(upper).alias("tu"), F.count_if(proper).alias("tp"), F.percentile(F.col("sentence").cast("double"), 0.5).alias("mid"), F.count_distinct("sentence").alias("sents"),
-        F.count_distinct("left").alias("dl"), F.count_distinct("right").alias("dr"), F.count("left").alias("nl"), F.count("right").alias("nr"), F.max("stop").alias("stop"),
-    )
-    valid = t.where(~F.col("stop"))
-    d = valid.groupBy("doc_id").agg(F.avg("tf").alias("mean"), F.coalesce(F.stddev_pop("tf"), F.lit(0.0)).alias("dev"), F.max("tf").alias("top"))
-    n = words.groupBy("doc_id").agg((F.max("sentence") + 1).alias("n_sents"))
-    v = valid.join(d, "doc_id").join(n, "doc_id")
-    case = F.greatest("tu", "tp") / (1 + F.log("tf"))
-    place = F.log(F.log(3 + F.col("mid")))
-    freq = F.col("tf") / (F.col("mean") + F.col("dev"))
-    side = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    rel = 1 + (side("dl", "nl") + side("dr", "nr")) * F.col("tf") / F.col("top")
-    spread = F.col("sents") / F.col("n_sents")
-    score = rel * place / (case + freq / rel + spread / rel)
-    return v.select("doc_id", "low", "tf", F.greatest(F.lit(1e-9), score).alias("s"))
-
-
-def phrase_scores(words: DataFrame, scores: DataFrame, n: int = NGRAM) -> DataFrame:
-    """Phrases up to ``n`` words that neither begin nor end with a stop word: ``(doc_id, phrase, score, tf, first)``.
+    return frozenset(StopWordsRemover.loadDefaultStopWords(LANGUAGES.get(language, "english")))
+
+
+@dataclass
+class Term:
+    """What is counted of a word of a document."""
+
+    tf: int = 0
+    capitals: int = 0
+    proper: int = 0
+    sentences: list[int] = field(default_factory=list)
+    left: dict[str, int] = field(default_factory=lambda: defaultdict(int))
+    right: dict[str, int] = field(default_factory=lambda: defaultdict(int))
+    stop: bool = False
+
+
+def tokenized(text: str) -> list[list[str]]:
+    """Words by sentence; sentences without a word keep their place."""
+    return [_WORD.findall(s) for s in _SENTENCE.split(text)]
+
+
+def term_scores(sentences: list[list[str]], stops: frozenset[str]) -> tuple[dict[str, Term], dict[str, float]]:
+    """The terms and the score of those that are no stop words, low for the telling ones: casing, place, frequency, company, spread."""
+    terms: dict[str, Term] = defaultdict(Term)
+    for i, words in enumerate(sentences):
+        low = [w.lower() for w in words]
+        for j, (w, k) in enumerate(zip(words, low)):
+            t = terms[k]
+            t.tf += 1
+            t.capitals += len(w) > 1 and w.isupper()
+            t.proper += j > 0 and w[0].isupper()
+            t.sentences.append(i)
+            if j:
+                t.left[low[j - 1]] += 1
+            if j + 1 < len(low):
+                t.right[low[j + 1]] += 1
+    for k, t in terms.items():
+        t.stop = k in stops or len(k) < 3 or bool(_NO_TERM.fullmatch(k))
+    valid = {k: t for k, t in terms.items() if not t.stop}
+    if not valid:
+        return terms, {}
+    tfs = [t.tf for t in valid.values()]
+    usual, top = fmean(tfs) + pstdev(tfs), max(tfs)
+    last = max(t.sentences[-1] for t in terms.values()) + 1
+    scores = {}
+    for k, t in valid.items():
+        case = max(t.capitals, t.proper) / (1 + math.log(t.tf))
+        place = math.log(math.log(3 + median(t.sentences)))
+        sides = sum(len(s) / sum(s.values()) for s in (t.left, t.right) if s)
+        rel = 1 + sides * t.tf / top
+        spread = len(set(t.sentences)) / last
+        scores[k] = max(1e-9, rel * place / (case + (t.tf / usual + spread) / rel))
+    return terms, scores
+
+
+def ranked_phrases(sentences: list[list[str]], terms: dict[str, Term], scores: dict[str, float], n: int = NGRAM) -> list[tuple[float, str]]:
+    """Phrases up to ``n`` words that neither begin nor end with a stop word, the lowest score first, then the earliest.
 
     A stop word inside counts as a term of score one.
     """
-    w = Window.partitionBy("doc_id", "sentence").orderBy("pos")
-    s = words.join(scores.select("doc_id", "low", "s"), ["doc_id", "low"], "left").withColumn("s", F.coalesce("s", F.lit(1.0)))
-    ahead = [F.struct(*(F.lead(c, k).over(w).alias(c) for c in ("low", "s", "stop"))) if k else F.struct("low", "s", "stop") for k in range(n)]
-    s = s.select("doc_id", "sentence", "pos", F.array(*ahead).alias("run"))
-    grams = F.filter(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.slice("run", 1, k)), lambda g: F.forall(g, lambda x: x["low"].isNotNull()) & ~F.get(g, F.lit(0))["stop"] & ~F.element_at(g, -1)["stop"])
-    g = s.select("doc_id", "sentence", "pos", F.explode(grams).alias("g"))
-    g = g.select(
-        "doc_id", F.concat_ws(" ", F.transform("g", lambda x: x["low"])).alias("phrase"), F.aggregate("g", F.lit(1.0), lambda a, x: a * x["s"]).alias("prod"), F.aggregate("g", F.lit(0.0), lambda a, x: a + x["s"]).alias("sum"),
-        (F.col("sentence") * 100000 + F.col("pos")).alias("at"),
-    )
-    p = g.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("tf"), F.min("prod").alias("prod"), F.min("sum").alias("sum"), F.min("at").alias("first"))
-    return p.select("doc_id", "phrase", (F.col("prod") / (F.col("tf") * (1 + F.col("sum")))).alias("score"), "tf", "first")
-
-
-def keywords(docs: DataFrame, max_keywords: int = 40, language: str = "en") -> DataFrame:
+    found: dict[str, list] = {}
+    for words in sentences:
+        low = [w.lower() for w in words]
+        for j, k in enumerate(low):
+            if terms[k].stop:
+                continue
+            product, total = 1.0, 0.0
+            for e in range(j, min(j + n, len(low))):
+                s = scores.get(low[e], 1.0)
+                product, total = product * s, total + s
+                if not terms[low[e]].stop:
+                    x = found.setdefault(" ".join(low[j : e + 1]), [0, product, total, len(found)])
+                    x[0] += 1
+    return [(s, p) for s, _, p in sorted((prod / (tf * (1 + total)), first, p) for p, (tf, prod, total, first) in found.items())]
+
+
+def language_of(sentences: list[list[str]], stops: dict[str, frozenset[str]]) -> str:
+    """The language with most stop words in a text; English where none has any."""
+    words = [w.lower() for s in sentences for w in s]
+    n = {k: sum(w in v for w in words) for k, v in stops.items()}
+    return max(n, key=lambda k: (n[k], k == "en"))
+
+
+def distinct_phrases(ranked: list[tuple[float, str]], most: int) -> list[tuple[float, str]]:
+    """The best ``most`` phrases, of those that are nearly alike the better one."""
+    kept: list[tuple[float, str]] = []
+    masks: list[tuple[int, int]] = []
+    for s, p in ranked:
+        if len(kept) >= most:
+            break
+        n, mask = len(p), 0
+        for c in p:
+            mask |= 1 << (ord(c) & 63)
+        # Of both a share of 1 - SIMILAR at most is unmatched, so no more kinds of characters differ.
+        if not any((mask ^ m).bit_count() <= (1 - SIMILAR) * (n + k) and _alike(p, kept[i][1]) for i, (k, m) in enumerate(masks)):
+            kept.append((s, p))
+            masks.append((n, mask))
+    return kept
+
+
+def keywords(docs: DataFrame, max_keywords: int = 40, language: str | None = "en") -> DataFrame:
     """``docs(doc_id, text)`` as ``(doc_id, rank, name, score, count, source)``, the lowest score first.
 
-    Of phrases that are nearly alike the better one is kept, among twice as many as are asked for; then form words and
-    fragments are left out. Documents without a term have no keyword.
+    Of phrases that are nearly alike the better one is kept, until there are twice as many as are asked for; then form
+    words and fragments are left out. Documents without a term have no keyword. ``language`` names the stop words; with
+    None each document is taken in the language whose stop words it has most of.
     """
-    docs = docs.where("text is not null").select("doc_id", "text").distinct()
-    w = terms(docs, stop_words(docs.sparkSession, language))
-    p = phrase_scores(w, term_scores(w))
-    # The limit is a part of the method (the best 2 x max); near copies are passed over until so many are kept.
-    g = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("score", "first", "phrase"))).alias("p"))
+    stops = {k: stop_words(k) for k in ([language] if language else LANGUAGES)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
+        types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int64())
         for b in batches:
             rows = []
-            for doc, ps in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                kept: list[str] = []
-                for x in ps:
-                    if len(kept) >= 2 * max_keywords:
-                        break
-                    if all(not _alike(x["phrase"], k) for k in kept):
-                        kept.append(x["phrase"])
-                        rows.append((doc, len(kept), x["phrase"], x["score"]))
+            for doc, text, low in zip(*(c.to_pylist() for c in b.columns)):
+                s = tokenized(text)
+                terms, scores = term_scores(s, stops[language or language_of(s, stops)])
+                seen = set()
+                for i, (x, p) in enumerate(distinct_phrases(ranked_phrases(s, terms, scores), 2 * max_keywords)):
+                    name = p.replace("�", "-").strip(_OUTER)
+                    if name and name not in seen:
+                        seen.add(name)
+                        rows.append((doc, i, p, name, round(x, 9), occurrences(name, low)))
             if rows:
-                d, r, n, s = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.string()), pa.array(r, pa.int32()), pa.array(n, pa.string()), pa.array(s, pa.float64())], ["doc_id", "r", "phrase", "score"])
-
-    distinct = g.mapInArrow(run, "doc_id string, r int, phrase string, score double")
-    ok = distinct.where(X.keyword_accepted(F.col("phrase"))).withColumn("name", X.normalize_keyword(F.col("phrase")))
-    first = ok.groupBy("doc_id", "name").agg(F.min("r").alias("r"), F.min_by("score", "r").alias("score"))
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("r"))).where(F.col("rank") <= max_keywords)
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    return ranked.join(low, "doc_id").select("doc_id", "rank", "name", F.round("score", 9).alias("score"), X.count_in_text(F.col("name"), F.col("low")).cast("bigint").alias("count"), F.lit("yake").alias("source"))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "place", "phrase", "name", "score", "count"])
+
+    some = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text").distinct()
+    best = some.select("doc_id", "text", F.lower("text").alias("low")).mapInArrow(run, "doc_id string, place int, phrase string, name string, score double, count bigint")
+    kept = best.where(X.keyword_accepted(F.col("phrase"))).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")))
+    return kept.where(F.col("rank") <= max_keywords).select("doc_id", "rank", "name", "score", "count", F.lit("yake").alias("source"))
 
 
 def _alike(a: str, b: str) -> bool:

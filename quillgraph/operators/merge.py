@@ -9,19 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
+from quillgraph.functions.reuse import reused
 from quillgraph.schemas import EVIDENCE, struct
 
 MAX_EVIDENCE = 8
 _EVIDENCE = f"array<{struct(EVIDENCE)}>"
 
 
-def first_seen(value: Column, order: Column | str = "ord") -> Column:
-    """Distinct values of a group in the order first seen; nulls left out."""
-    o = F.col(order) if isinstance(order, str) else order
-    listed = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(o.alias("o"), value.alias("v")))))
-    return F.array_distinct(F.transform(listed, lambda x: x["v"]))
-
-
 def merge_entities(raw: DataFrame) -> DataFrame:
     """``raw(doc_id, ord, name, type, snippet, source)`` by normalised name: ``(doc_id, key, name, type, snippet, sources, count)``.
 
@@ -30,7 +24,7 @@ def merge_entities(raw: DataFrame) -> DataFrame:
     before the keys are, so a frequent entity is no hot group.
     """
     r = raw.select("doc_id", "ord", X.normalize_name(F.col("name")).alias("key"), X.ustrip(F.coalesce("name", F.lit(""))).alias("name"), F.coalesce("type", F.lit("concept")).alias("type"), "snippet", "source")
-    r = r.where(F.col("key") != "")
+    r = reused(r.where(F.col("key") != ""))  # four aggregations read the normalised rows
     mode = lambda c: r.groupBy("doc_id", "key", c).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("o")).groupBy("doc_id", "key").agg(F.max_by(c, F.struct("n", -F.col("o"))).alias(c))
     has = F.coalesce("snippet", F.lit("")) != ""
     base = r.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("count"), F.min_by(F.when(has, F.col("snippet")), F.when(has, F.col("ord"))).alias("snippet"))
@@ -133,7 +127,7 @@ def merge_edges(raw: DataFrame, entity_keys: DataFrame | None = None) -> DataFra
     """
     keys = ["doc_id", "source", "target", "relation_key", "direction"]
     e = canonical_edges(raw).withColumn("items", clean_evidence(F.col("evidence"), F.col("snippet"), F.col("tags")))
-    e = endpoint_support(e.drop("evidence", "snippet"), entity_keys)
+    e = reused(endpoint_support(e.drop("evidence", "snippet"), entity_keys))  # four aggregations read the canonical edges
     main = e.groupBy(*keys).agg(
         F.min_by("relation", "ord").alias("relation"), F.min_by("original_relation", "ord").alias("original_relation"), F.min_by("kind", "ord").alias("kind"),
         F.sum("weight").alias("weight"), F.sum("support_count").alias("support_count"), F.avg("endpoint_support").alias("endpoint_support"),
