@@ -2,12 +2,15 @@
 
 Every document gets one row of shares: the top word and top word pair among content words, repeated lines, words inside
 link markup, tags, separators, function words and letters in sentences. A line-wise score tells how much of the text
-is running prose, so a page that opens with a borrowed sentence still counts by what most of it is. Limits are set per
-language of the text, which is taken from its function words where ``lang`` is null or doubtful.
-
-Defined cases: a null, blank or very short text (fewer than ``MIN_WORDS`` words, an address
-being one) is no spam; a copy of a page has the
-result of the page.
+is running prose, so a page that opens with a borrowed sentence still counts by what most of it is. Limits are quantiles
+of these shares over all documents of a language that are running prose, drawn to prior values with the weight of
+``PRIOR`` documents, so they change smoothly with the size of the corpus and a new language begins with the priors. The
+language of a text is taken from its function words where ``lang`` is null or doubtful; a text in sentences that holds
+few function words of any listed language is in another one, and its function words count for nothing.
+
+Defined cases: a null text has no row and a blank one is no spam; of texts with fewer than ``MIN_WORDS`` words (an
+address being one), in which shares of words say nothing, only links and tags count; a copy of a page has the result of
+the page.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, written
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -27,8 +31,12 @@ FUNCTION_WORDS = {
     "es": set("el la los las un una unos unas de del al y o u pero en es son fue fueron ha han sido ser será por para que quien quién qué cómo nosotros yo nuestro nuestra su sus no ni más sobre bajo con sin se lo le les este esta estos estas ese esa entre desde hasta durante después antes según aunque porque mientras donde hoy muy ya contra".split()),
 }
 MIN_WORDS = 12
-# Limits by language: least share of function words in prose, most share of the top content word in prose.
-LIMITS = {"en": (0.22, 0.16), "de": (0.18, 0.16), "fr": (0.22, 0.16), "es": (0.22, 0.16)}
+PRIOR = 200  # documents that the prior values of limits weigh as much as
+PROSE_WORDS = 30  # words of a text that says what is usual in its language
+#: Limits: the share, its quantile among prose, a factor, and the prior value.
+LIMITS = {
+    "function_words": (0.001, 0.85, 0.2), "top_word": (0.985, 1.0, 0.16), "distinct_words": (0.04, 1.0, 0.35), "link_text": (0.999, 3.0, 0.4), "separators": (0.999, 2.5, 0.3),
+}
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)|<a\s[^>]*>.*?</a>|https?://\S+|www\.\S+", re.S)
@@ -41,8 +49,14 @@ _PAPER = re.compile(r"\d+/\d+ [^\W\d_][^\[\]<>#]*?(?:: (?:https?://|www\.)\S+)?"
 _END = re.compile(r"[.!?…][\"”»“)]*(?:\s|$)")
 
 
-FIELDS = "doc_id bigint, lang string, words int, top_word double, top_pair double, function_words double, duplicate_lines double, link_text double, tags double, separators double, prose double, distinct_words double, numbered_lines double, menu_lines double, spam boolean"
+FIELDS = (
+    "doc_id bigint, lang string, words int, top_word double, top_pair double, function_words double, duplicate_lines double, link_text double, tags double, separators double, prose double, distinct_words double, "
+    "numbered_lines double, menu_lines double, paper_lines double, links int"
+)
 NAMES = [f.split()[0] for f in FIELDS.split(", ")]
+_LANGUAGES = sorted(FUNCTION_WORDS)
+#: The languages that a function word belongs to, by their numbers.
+_OF = {w: tuple(i for i, k in enumerate(_LANGUAGES) if w in FUNCTION_WORDS[k]) for v in FUNCTION_WORDS.values() for w in v}
 
 
 def shares(text: str, lang: str | None) -> tuple:
@@ -53,12 +67,17 @@ def shares(text: str, lang: str | None) -> tuple:
     n = len(words)
     tokens = n + len(_URL.findall(low))
     if not tokens:
-        return (lang, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        return (lang, 0, *[0.0] * 12, 0)
     m_words = max(1, n)
     count = Counter(words)
-    by = {k: sum(c for w, c in count.items() if w in v) for k, v in FUNCTION_WORDS.items()}
-    best = max(by, key=by.get)
-    lang = lang if lang in by and by[lang] * 1.5 >= by[best] else best
+    by = [0] * len(_LANGUAGES)
+    for w in _OF.keys() & count.keys():
+        for i in _OF[w]:
+            by[i] += count[w]
+    best = by.index(max(by))
+    if lang in FUNCTION_WORDS and by[_LANGUAGES.index(lang)] * 1.5 >= by[best]:
+        best = _LANGUAGES.index(lang)
+    lang, fun = _LANGUAGES[best], by[best] / m_words
     common = FUNCTION_WORDS[lang]
     content = [w for w in words if w not in common and not w.isdigit()]
     m = max(1, len(content))
@@ -66,11 +85,12 @@ def shares(text: str, lang: str | None) -> tuple:
     pair = max(Counter(zip(content, content[1:])).values(), default=0) / max(1, m - 1)
     lines = [x.strip() for x in low.split("\n") if x.strip()]
     duplicates = 1 - len(set(lines)) / len(lines)
-    links = sum(len(x) for x in _LINK.findall(low)) / len(text)
+    found = _LINK.findall(low)
+    links = sum(map(len, found)) / len(text)
     tags = len(_TAG.findall(low)) / m_words
     separators = len(_SEPARATOR.findall(bare)) / m_words
-    # Prose: words of sentences that end in an end mark and hold their share of function words.
-    prose = 0
+    # Prose: words of sentences that end in an end mark, repeat no content word much and hold their share of function words.
+    prose = form = 0
     for line in lines:
         at = 0
         for e in _END.finditer(line):
@@ -78,33 +98,52 @@ def shares(text: str, lang: str | None) -> tuple:
             at = e.end()
             if len(sentence) >= 2:
                 own = Counter(sentence)
-                fun = sum(w in common for w in sentence)
                 most = max((c for w, c in own.items() if w not in common), default=1)
-                if fun >= 0.15 * len(sentence) and most <= max(1, len(sentence) // 8):
-                    prose += len(sentence)
-    return (lang, tokens, top, pair, by[lang] / m_words, duplicates, links, tags, separators, prose / m_words, len(count) / m_words, sum(bool(_NUMBERED.match(x)) for x in lines) / len(lines), sum(len(x.split()) <= 4 and x[-1] not in ".!?" for x in lines) / max(len(lines), 8))
-
-
-def is_spam(lang: str, n: int, top: float, pair: float, fun: float, duplicates: float, links: float, tags: float, separators: float, prose: float, distinct: float, numbered: float, menu: float, papers: float = 0.0) -> bool:
-    least_fun, most_top = LIMITS.get(lang, (0.2, 0.16))
-    if n < MIN_WORDS:
-        return False
-    score = 0.0
-    score += fun < 0.5 * least_fun
-    score += 0.5 * (fun < least_fun)
-    score += top > most_top or (top > 0.6 * most_top and pair > 0.5 * top)
-    score += 0.5 * (top > 0.07)
-    score += distinct < 0.35
-    score += duplicates > 0.2
-    score += links > 0.4
-    score += tags > 0.3
-    score += separators > 0.3
-    score += 0.5 * (menu > 0.6)
-    score -= 2 * (prose > 0.5)
-    # Papers and agenda items bear numbers; where links or tags outweigh them, only the form of papers tells them.
-    score -= 8 * (numbered > 0.5 and top < 0.25 and (links <= 0.4 and tags <= 0.3 or papers > 0.5))
-    score -= 2 * (distinct > 0.45 and top <= 0.08 and pair <= 0.03 and links < 0.1 and tags < 0.05)  # lists of names
-    return score >= 2
+                if most <= max(1, len(sentence) // 8):
+                    form += len(sentence) if len(sentence) >= 4 else 0
+                    if sum(w in common for w in sentence) >= 0.15 * len(sentence):
+                        prose += len(sentence)
+    if fun < 0.1 and form > 0.8 * m_words:
+        lang, prose = "other", form
+    return (
+        lang, tokens, top, pair, fun, duplicates, links, tags, separators, prose / m_words, len(count) / m_words, sum(bool(_NUMBERED.match(x)) for x in lines) / len(lines),
+        sum(len(x.split()) <= 4 and x[-1] not in ".!?" for x in lines) / max(len(lines), 8), paper_lines(text), len(found),
+    )
+
+
+def limits(scores: DataFrame) -> DataFrame:
+    """Limits by language: quantiles over the texts in running prose, drawn to the priors; a row per language."""
+    some = scores.where((F.col("prose") > 0.5) & (F.col("words") >= PROSE_WORDS))
+    n = F.count(F.lit(1))
+    each = [((n * factor * F.percentile_approx(c, F.lit(q), F.lit(10_000)) + PRIOR * prior) / (n + PRIOR)).alias(f"at_{c}") for c, (q, factor, prior) in LIMITS.items()]
+    return some.groupBy("lang").agg(*each)
+
+
+def is_spam() -> Column:
+    """The verdict on a row of shares beside the limits of its language."""
+    c = F.col
+    at = {k: F.coalesce(c(f"at_{k}"), F.lit(prior)) for k, (_, _, prior) in LIMITS.items()}
+    one = lambda cond, w=1.0: F.when(cond, F.lit(w)).otherwise(F.lit(0.0))
+    fun, top, pair, links, tags = c("function_words"), c("top_word"), c("top_pair"), c("link_text"), c("tags")
+    listed = c("lang") != "other"
+    score = (
+        one(listed & (fun < 0.5 * at["function_words"]))
+        + one(listed & (fun < at["function_words"]), 0.5)
+        + one((top > at["top_word"]) | ((top > 0.6 * at["top_word"]) & (pair > 0.5 * top)))
+        + one(top > 0.45 * at["top_word"], 0.5)
+        + one(c("distinct_words") < at["distinct_words"])
+        + one(c("duplicate_lines") > 0.2)
+        + one(links > at["link_text"])
+        + one(tags > 0.3)
+        + one(c("separators") > at["separators"])
+        + one(c("menu_lines") > 0.6, 0.5)
+        - one(c("prose") > 0.5, 2.0)
+        # Papers and agenda items bear numbers; where links or tags outweigh them, only the form of papers tells them.
+        - one((c("numbered_lines") > 0.5) & (top < 0.25) & (((links <= at["link_text"]) & (tags <= 0.3)) | (c("paper_lines") > 0.5)), 8.0)
+        - one((c("distinct_words") > 0.45) & (top <= 0.5 * at["top_word"]) & (pair <= 0.03) & (links < 0.1) & (tags < 0.05), 2.0)  # lists of names
+    )
+    few = (((links > at["link_text"]) & (c("links") >= 3)) | (tags > 0.5) & (tags * c("words") >= 3)) & (c("prose") <= 0.5) & (c("paper_lines") <= 0.5)
+    return F.when(c("words") < MIN_WORDS, few).otherwise(score >= 2)
 
 
 def paper_lines(text: str) -> float:
@@ -114,12 +153,11 @@ def paper_lines(text: str) -> float:
 
 
 def spam_scores(df: DataFrame) -> DataFrame:
-    """``df(doc_id, text, lang)`` with the shares and ``spam`` of every row."""
-
-    def rows(doc_id, text, lang):
-        if text is None:
-            return []
-        f = shares(text, lang)
-        return [(doc_id, *f, bool(is_spam(*f, papers=paper_lines(text))))]
-
-    return map_rows(df.select("doc_id", "text", "lang"), rows, FIELDS, NAMES)
+    """``df(doc_id, text, lang)`` with the shares and ``spam`` of every row.
+
+    The shares are written once; the limits are a row per language, of the four listed ones and "other".
+    """
+    rows = lambda doc_id, text, lang: [] if text is None else [(doc_id, *shares(text, lang))]
+    scores = written(map_rows(df.select("doc_id", "text", "lang"), rows, FIELDS, NAMES))
+    judged = scores.join(F.broadcast(limits(scores)), "lang", "left").withColumn("spam", F.coalesce(is_spam(), F.lit(False)))
+    return judged.select(*NAMES, "spam")
