@@ -6,7 +6,7 @@ end openly than at those beside it is a hidden storage limit. Then endings are i
 mark is complete unless the mark belongs to an abbreviation, a number or a quotation still open; what is left, some
 tenth of the rows, is looked up in the text that it quotes, white space aside, where the next characters decide: the end
 of a line or of the unit, or the same omission mark, is complete. Values that can't be found there, because the text is
-damaged, are decided by their form and by the limits.
+damaged, are decided by their form and by whether they are at a limit of their source, by any of the measures.
 
 A document's values come to its text in groups of at most some hundreds, however many it has.
 
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import map_rows
 from .sentences import ABBREVIATIONS, _soft_breaks
 
+# Abbreviations that often end a name, and so a sentence, before a capital letter.
+CLOSING = set("ltd inc co corp bros dept assn assoc soc fdn fed univ inst bd auth off natl est jr etc usw ecc a.m p.m u.s u.k".split())
 MEASURES = ["chars", "utf8_bytes", "utf16_units", "entity_chars", "json_chars", "crlf_chars"]
 GROUP = 400
 
@@ -157,7 +159,8 @@ def cut_off(text: str, doubt: str, doc: Quoted | None, at_limit: bool) -> bool:
             return False
         return core in doc.flat or at_limit or not re.search(r"[^\W\d_]{2,}\W*$", t[: m.start()])
     if doubt == "open":
-        return not (end >= len(doc.flat) or doc.line_ends(end))
+        # A list line ends at any line end, though the lines of the text are wrapped, unless it goes on in small letters.
+        return not (end >= len(doc.flat) or doc.line_ends(end) or end in doc.breaks and not nxt.islower() and _LINE.match(t))
     if doubt == "abbreviation":
         if end >= len(doc.flat) or doc.line_ends(end):
             return False
@@ -166,6 +169,8 @@ def cut_off(text: str, doubt: str, doc: Quoted | None, at_limit: bool) -> bool:
         word = re.search(r"[^\s(\[“„«「,、。]*$", t[:-1]).group()
         if nxt.islower() or nxt.isdigit() or nxt in ",;:.)’'–-":
             return True
+        if word.isdigit() or word.lower() in CLOSING or re.search(r", \w\.$", t):
+            return False
         return word.lower() in ABBREVIATIONS or len(word) == 1 or "." in word
     if doubt == "quotation":
         return True
@@ -187,11 +192,12 @@ def truncated(values: DataFrame, parsed: DataFrame, use_limits: bool = True) ->
         ["record_table", "doc_id", "record_id", "source", "text", "doubt"],
     )
     if use_limits:
-        limits = storage_limits(v.select("source", "text")).where("measure in ('chars', 'utf8_bytes')").groupBy("source").agg(
-            F.collect_set(F.when(F.col("measure") == "chars", F.col("length"))).alias("chars"), F.collect_set(F.when(F.col("measure") == "utf8_bytes", F.col("length"))).alias("bytes")
-        )
+        # A value is at a limit if its length by any measure is one of its source's; sources have few limits each.
+        mark = lambda m, n: F.concat(F.lit(m + " "), n.cast("string"))
+        limits = storage_limits(v.select("source", "text")).groupBy("source").agg(F.collect_set(F.concat_ws(" ", "measure", F.col("length").cast("string"))).alias("limits"))
         doubtful = doubtful.join(limits, doubtful.source.eqNullSafe(limits.source), "left").drop(limits.source)
-        doubtful = doubtful.withColumn("at_limit", F.coalesce(F.array_contains("chars", F.char_length("text")) | F.array_contains("bytes", F.octet_length("text")), F.lit(False)))
+        own = F.array(*(mark(m, n.cast("int")) for m, n in zip(MEASURES, lengths(F.col("text")))))
+        doubtful = doubtful.withColumn("at_limit", F.coalesce(F.arrays_overlap("limits", own), F.lit(False)))
     else:
         doubtful = doubtful.withColumn("at_limit", F.lit(False))
     item = F.struct("record_table", "record_id", "text", "doubt", "at_limit")
