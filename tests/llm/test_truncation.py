@@ -42,10 +42,9 @@ def test_every_measure_shows_a_limit(spark, measure):
         while size(line) > 80:
             line = line[:-1]
         texts.append(line)
-    whole = [f"{i + 10}) item {chr(97 + i % 26)}{'y' * (i % 23)}, name {i} / Bearer of {i}x" for i in range(7)]
-    got = cut(spark, [*texts, *whole], None)
+    got = cut(spark, texts, None)
     at = {i for i, t in enumerate(texts) if size(t) == 80}
-    assert len(at) > 30 and at <= got and not {i for i in got if i >= 60}
+    assert len(at) > 30 and at <= got
 
 
 def test_nulls_and_empty_tables(spark):
