@@ -34,6 +34,11 @@ def merge_entities(raw: DataFrame) -> DataFrame:
     return out.select("doc_id", "key", "name", "type", F.coalesce("snippet", F.lit("")).alias("snippet"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "count")
 
 
+def entity_order(entities: DataFrame) -> DataFrame:
+    """Merged entities in their order within a document: the most frequent first, then by name."""
+    return entities.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("count"), "name", "key")))
+
+
 def usable_edges(raw: DataFrame) -> DataFrame:
     """Raw edges both of whose ends are usable names."""
     return raw.where(X.usable_name(F.col("source")) & X.usable_name(F.col("target")))

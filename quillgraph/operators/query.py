@@ -58,6 +58,47 @@ def central(nodes: DataFrame, k: int, extra: list[str] = ()) -> DataFrame:
     return nodes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def first_hit(nodes: DataFrame, query: str) -> DataFrame:
+    """The most central match of a search in every document that has one."""
+    return central(search(nodes, query), 1)
+
+
+def core_concepts(nodes: DataFrame, links: DataFrame, k: int = 5, labels: DataFrame | None = None) -> DataFrame:
+    """The ``k`` most central nodes of every document's core."""
+    return central(select_view(nodes, links, "core", labels=labels)[0], k)
+
+
+def pick_list(nodes: DataFrame) -> DataFrame:
+    """Nodes in the order of their names as people sort them (Unicode collation), numbered."""
+    w = Window.partitionBy("doc_id").orderBy(F.collate(F.col("name"), "UNICODE"), "name", "id")
+    return nodes.withColumn("place", F.row_number().over(w))
+
+
+def component_of(labels: DataFrame, asked: DataFrame) -> DataFrame:
+    """The components of the nodes of ``asked(doc_id, id)``, in the form in which ``select_view`` takes them."""
+    return labels.join(asked.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_semi").select("doc_id", "component").distinct()
+
+
+def relation_names(links: DataFrame) -> DataFrame:
+    """Relations of every document in alphabetical order, numbered."""
+    each = links.where("relation is not null").select("doc_id", "relation").distinct()
+    return each.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("relation")))
+
+
+def top_relations(links: DataFrame, k: int = 15) -> DataFrame:
+    """The ``k`` most frequent relations of every document, ranked."""
+    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "relation")
+    return relation_histogram(links).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def legend(nodes: DataFrame, k: int = 12) -> DataFrame:
+    """The first ``k`` of a document's communities by number, with their colours: as many entries as it has communities."""
+    from quillgraph.functions.display import community_color
+
+    n = nodes.groupBy("doc_id").agg(F.least(F.lit(k), F.count_distinct("community").cast("int")).alias("n")).where("n > 0")
+    return n.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("community")).withColumn("color", community_color(F.col("community")))
+
+
 def suggested_weight(links: DataFrame) -> DataFrame:
     """Least weight to show per document: 10 with more than a hundred associations, else 2."""
     n = F.count_if(kind() == "association")
@@ -159,11 +200,11 @@ def shortest_paths(links: DataFrame, asked: DataFrame, max_hops: int | None = No
     """Shortest undirected paths for ``asked(doc_id, start, end)``: ``(doc_id, start, end, hops, path)``.
 
     A breadth-first search of all pairs at once: a frontier joins the links, nodes seen before are dropped, of several
-    ways to a node the one through the earliest found parent and the earliest link is kept. Pairs without a path give no
+    ways to a node the one whose ids come first in order is kept. Pairs without a path give no
     row; a path of a node to itself has no hop. The search ends when no new node is reached, or after ``max_hops`` if given.
     """
     e = links.select("doc_id", F.col("source").alias("a"), F.col("target").alias("b"), "id")
-    both = checkpoint(e.unionByName(e.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b"), "id")).where("a <> b").groupBy("doc_id", "a", "b").agg(F.min("id").alias("via")))
+    both = checkpoint(e.unionByName(e.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b"), "id")).where("a <> b").select("doc_id", "a", "b").distinct())
     keys = ["doc_id", "start", "end"]
     asked = asked.select(*keys).distinct()
     seen = checkpoint(asked.select(*keys, F.col("start").alias("node"), F.array("start").alias("path")))
@@ -200,7 +241,7 @@ def layout_seeds(nodes: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id")
     i, n = F.row_number().over(w.orderBy("id")) - 1, F.count(F.lit(1)).over(w)
     r, angle = F.greatest(F.lit(45.0), F.sqrt(n) * 40), i / n * 2 * 3.141592653589793
-    return nodes.select("doc_id", "id", F.round(F.cos(angle) * r, 6).alias("x"), F.round(F.sin(angle) * r, 6).alias("y"))
+    return nodes.select("doc_id", "id", (F.round(F.cos(angle) * r, 6) + 0.0).alias("x"), (F.round(F.sin(angle) * r, 6) + 0.0).alias("y"))
 
 
 def label_ids(nodes: DataFrame, links: DataFrame, query: str = "", selected: DataFrame | None = None, limit: int = 12) -> DataFrame:

@@ -494,7 +494,7 @@ _add(
 # Operators that SQL can't express.
 _add("chunk_text", lambda s, d: U.chunks(T.docs(s, d)).select("doc_id", "chunk_index", F.char_length("text").alias("chars"), F.md5("text").alias("digest")))
 _add("yake", lambda s, d: K.keywords(T.docs(s, d), language=None))
-_add("html_to_text", lambda s, d: documents.html_texts(T.table(s, d, "parsed").where("format = 'html'").select("doc_id", F.concat(F.lit("<html><head><style>p{}</style></head><body><p>"), F.replace(X.escape_html(F.col("text")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></body></html>")).alias("html")).distinct()).select("doc_id", F.char_length("text").alias("chars")))
+_add("html_to_text", lambda s, d: documents.html_texts(T.table(s, d, "parsed").where("format = 'html'").select("doc_id", F.concat(F.lit("<html><head><style>p{}</style></head><body><p>"), F.replace(X.escape_html(F.col("text")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></body></html>")).alias("html")).distinct()).select("doc_id", F.md5("text").alias("digest")))
 
 
 def _from_text(s: SparkSession, d: str) -> DataFrame:
@@ -504,3 +504,6 @@ def _from_text(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("graph_from_text", _from_text)
+
+
+from . import more  # noqa: E402, F401  adds its queries

@@ -26,6 +26,9 @@ class Settings:
     llm_min_chunks: int = 12
     llm_max_chunks: int = 250
     max_keywords: int = 40
+    max_upload_mb: int = 50
+    llm_timeout_seconds: float = 120.0
+    llm_max_retries: int = 1
 
     @classmethod
     def from_env(cls, env=None, env_file: str | None = None) -> Settings:
@@ -41,6 +44,31 @@ class Settings:
         return cls(**own)
 
 
+# What may be uploaded; old Word files are known but can't be read.
+EXTENSIONS = [".doc", ".docx", ".htm", ".html", ".md", ".pdf", ".pptx", ".txt"]
+MODES = ["fast", "balanced", "full"]
+
+
+def upload_checks(files: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """``files(name, size, mode)`` with ``code``, 200, 400 or 413, and the ``reason`` of a rejection, null where a file is accepted.
+
+    A null or empty mode is the one of the settings. The first rule that a file breaks decides: type, old Word format,
+    mode, emptiness, size.
+    """
+    s = settings or Settings()
+    ext = F.lower(F.regexp_extract(F.coalesce("name", F.lit("")), r"[^/\\](\.[^./\\]+)$", 1))
+    given = F.coalesce(F.col("mode"), F.lit(""))
+    mode = F.lower(F.trim(F.when(given == "", F.lit(s.extraction_mode)).otherwise(given)))
+    size = F.coalesce(F.col("size"), F.lit(0))
+    rules = [
+        (~ext.isin(EXTENSIONS), 400, "type"), (ext == ".doc", 400, "old Word format"), (~mode.isin(MODES), 400, "mode"), (size <= 0, 400, "empty"), (size > s.max_upload_mb * 1024 * 1024, 413, "too large"),
+    ]
+    code, reason = F.lit(200), F.lit(None).cast("string")
+    for bad, n, why in reversed(rules):
+        code, reason = F.when(bad, n).otherwise(code), F.when(bad, why).otherwise(reason)
+    return files.withColumn("code", code).withColumn("reason", reason)
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """The last row of every document, whatever the order of arrival; at equal times the further status holds."""
     stage = F.expr("coalesce(array_position(array('queued', 'parsing', 'chunking', 'extracting', 'clustering', 'done', 'error'), status), 0)")

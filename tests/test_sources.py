@@ -113,6 +113,27 @@ def test_extraction_and_cache(spark):
     assert {(r.doc_id, r.evidence[0].chunk_index) for r in E.raw_relations(got).collect() if r.evidence} <= {("d", 0), ("d", 1), ("e", 0)}
 
 
+def test_slides_shape_by_shape():
+    """Text and tables come in the order of the shapes, cells between bars; groups and fields are no text."""
+    import io
+    import zipfile
+
+    p = lambda x: f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>"
+    sp = lambda *x: f"<p:sp><p:txBody>{''.join(map(p, x))}</p:txBody></p:sp>"
+    row = "<a:tr>" + "".join(f"<a:tc><a:txBody>{p(c)}</a:txBody></a:tc>" for c in ("k", " ", "v")) + "</a:tr>"
+    table = f"<p:graphicFrame><a:graphic><a:graphicData><a:tbl>{row}</a:tbl></a:graphicData></a:graphic></p:graphicFrame>"
+    field = "<p:sp><p:txBody><a:p><a:r><a:t>page</a:t></a:r><a:fld><a:t>7</a:t></a:fld></a:p></p:txBody></p:sp>"
+    slide = f'<p:sld xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"><p:cSld><p:spTree>{sp("one", " ", "two")}{table}<p:grpSp>{sp("grouped")}</p:grpSp>{field}{sp("last")}</p:spTree></p:cSld></p:sld>'
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("ppt/slides/slide1.xml", slide)
+    assert D.read_bytes(".pptx", data.getvalue())[0] == "one\ntwo\nk | v\npage\nlast"
+
+
+def test_cells_of_pages_stay_in_their_row():
+    assert D.html_to_text("<table><tr><td>a</td><td>b</td></tr><tr><th>c</th></tr></table><nav>x</nav>y<p>z<script>1</script>") == "ab\nc\nxy\nz"
+
+
 def test_keywords(spark):
     docs = spark.createDataFrame([("d", TEXT), ("e", ""), ("f", None), ("g", "the of and")], "doc_id string, text string")
     rows = K.keywords(docs, 10).orderBy("doc_id", "rank").collect()
