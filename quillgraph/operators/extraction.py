@@ -1,14 +1,17 @@
 """Entities and relations from a language model: prompts, answers, cache and calls.
 
-The model is any function ``chunk text -> answer text``; none is built in. Calls run in ``mapInPandas`` partitions, whose
-number bounds how many run at once; each partition slows down by itself when the provider asks for it. Answers are kept
+The model is any function ``(system prompt, user prompt) -> answer text``, perhaps with a ``json_mode``; none is built in,
+so time limits and further tries are the function's. Calls run in ``mapInPandas`` partitions, whose number bounds how
+many run at once; each partition has slots that halve when the provider throttles and grow again. Answers are kept
 in a cache table by a hash of model, prompt and chunk, so a chunk is asked once.
 """
 
 from __future__ import annotations
 
+import inspect
 import json
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -212,31 +215,76 @@ class Throttled(Exception):
     """Raised by a provider that asks to be called less often."""
 
 
-class Pace:
-    """Pauses between calls: double after each time the provider throttles, up to a limit, halved by success."""
+class Slots:
+    """How many calls of one task may run at once, and the pause before the next one after the provider throttled.
 
-    def __init__(self, first: float = 0.5, most: float = 8.0, sleep: Callable[[float], None] = time.sleep) -> None:
-        self.first, self.most, self.pause, self.events, self.sleep = first, most, 0.0, 0, sleep
+    Half as many after a throttled call, down to one, with a pause of half a second that doubles up to eight; one more
+    after four successes in a row, or twice as many as there are slots, which also ends the pauses.
+    """
+
+    def __init__(self, maximum: int = 1, first: float = 0.5, most: float = 8.0, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.maximum = self.allowed = max(1, maximum)
+        self.first, self.most, self.sleep = first, most, sleep
+        self.active = self.successes = self.events = 0
+        self.pause = 0.0
+        self.free = threading.Condition()
+
+    def __enter__(self) -> Slots:
+        with self.free:
+            while self.active >= self.allowed:
+                self.free.wait()
+            self.active += 1
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        with self.free:
+            self.active -= 1
+            if kind is None:
+                self.successes += 1
+                if self.successes >= max(4, 2 * self.allowed):
+                    self.allowed, self.successes, self.pause = min(self.maximum, self.allowed + 1), 0, 0.0
+            elif issubclass(kind, Throttled):
+                self.events += 1
+                self.allowed, self.successes = max(1, self.allowed // 2), 0
+                self.pause = min(self.most, max(self.first, self.pause * 2))
+            pause = self.pause if kind is not None and issubclass(kind, Throttled) else 0.0
+            self.free.notify_all()
+        if pause:
+            self.sleep(pause)
+
+
+Pace = Slots
+
+
+def _takes_json_mode(provider: Callable) -> bool:
+    try:
+        return "json_mode" in inspect.signature(provider).parameters
+    except (TypeError, ValueError):
+        return False
 
-    def throttled(self) -> None:
-        self.events += 1
-        self.pause = min(self.most, max(self.first, self.pause * 2))
-        self.sleep(self.pause)
 
-    def done(self) -> None:
-        self.pause = 0.0 if self.pause <= self.first else self.pause / 2
+def _call(provider: Callable[..., str], prompt: str, user: str, slots: Slots) -> str:
+    """An answer, asked for as JSON where the provider has a ``json_mode``; again without it if it fails otherwise than by throttling."""
+    if _takes_json_mode(provider):
+        try:
+            with slots:
+                return provider(prompt, user, json_mode=True)
+        except Throttled:
+            raise
+        except Exception:  # noqa: BLE001
+            pass
+    with slots:
+        return provider(prompt, user)
 
 
-def ask(provider: Callable[[str, str], str], chunk: str, index: int, pace: Pace | None = None, attempts: int = 2) -> dict:
+def ask(provider: Callable[..., str], chunk: str, index: int, slots: Slots | None = None, attempts: int = 2) -> dict:
     """One chunk asked, again after an answer that is no JSON; errors are returned, never raised."""
-    pace = pace or Pace()
+    slots = slots or Slots()
     prompt, error = PROMPT, "no valid JSON in the answer"
-    for n in range(attempts):
+    for _ in range(attempts):
         try:
-            got = parse_answer(provider(prompt, user_prompt(chunk, index)))
-            pace.done()
+            got = parse_answer(_call(provider, prompt, user_prompt(chunk, index), slots))
         except Throttled as e:
-            pace.throttled()
             error = str(e) or "throttled"
             continue
         except Exception as e:  # noqa: BLE001
@@ -251,10 +299,11 @@ def with_cache_keys(chunks: DataFrame, model: str) -> DataFrame:
     return chunks.withColumn("cache_key", X.cache_key(F.lit(model), F.lit(PROMPT), F.col("text")))
 
 
-def extract(chunks: DataFrame, provider: Callable[[str, str], str] | None, model: str = "none", cache: DataFrame | None = None, parallel: int = 4) -> DataFrame:
+def extract(chunks: DataFrame, provider: Callable[[str, str], str] | None, model: str = "none", cache: DataFrame | None = None, parallel: int = 4, per_task: int = 1) -> DataFrame:
     """Answers for ``chunks(doc_id, chunk_index, text)``: ``(doc_id, chunk_index, cache_key, entities, relations, error, hit, seconds)``.
 
-    Equal chunks are asked once. Without a provider what the cache doesn't have is empty.
+    Equal chunks are asked once. Without a provider what the cache doesn't have is empty. ``parallel`` tasks call the
+    provider, whatever the size of the cluster, as its limit is one for all, each with up to ``per_task`` calls at once.
     """
     keyed = with_cache_keys(chunks, model)
     import pandas as pd
@@ -262,14 +311,19 @@ def extract(chunks: DataFrame, provider: Callable[[str, str], str] | None, model
     schema = f"cache_key string, {_ANSWER}, seconds double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pace = Pace()
-        for f in frames:
-            out = []
-            for key, text, index in zip(f["cache_key"], f["text"], f["chunk_index"]):
-                t = time.time()
-                got = ask(provider, text, int(index), pace) if provider else {"entities": [], "relations": [], "error": None}
-                out.append({"cache_key": key, **got, "seconds": time.time() - t})
-            yield pd.DataFrame(out, columns=["cache_key", "entities", "relations", "error", "seconds"])
+        from concurrent.futures import ThreadPoolExecutor
+
+        slots = Slots(per_task)
+
+        def one(key: str, text: str, index: int) -> dict:
+            t = time.time()
+            got = ask(provider, text, int(index), slots) if provider else {"entities": [], "relations": [], "error": None}
+            return {"cache_key": key, **got, "seconds": time.time() - t}
+
+        with ThreadPoolExecutor(max_workers=per_task) as pool:
+            for f in frames:
+                out = list(pool.map(one, f["cache_key"], f["text"], f["chunk_index"]))
+                yield pd.DataFrame(out, columns=["cache_key", "entities", "relations", "error", "seconds"])
 
     wanted = keyed.groupBy("cache_key").agg(F.first("text").alias("text"), F.min("chunk_index").alias("chunk_index"))
     cols = ["cache_key", "entities", "relations"]
@@ -303,9 +357,14 @@ def raw_relations(answers: DataFrame) -> DataFrame:
     return r.select("doc_id", (F.col("chunk_index").cast("bigint") * 1000 + F.col("i")).alias("ord"), "r.source", "r.target", "r.relation", "r.original_relation", "r.direction", "r.kind", F.lit(None).cast("array<string>").alias("tags"), F.lit(1).cast("bigint").alias("support_count"), "r.snippet", place.alias("evidence"))
 
 
-def run_metrics(answers: DataFrame) -> DataFrame:
-    """Calls, errors, cache hits and seconds per document."""
-    return answers.groupBy("doc_id").agg(
+def run_metrics(answers: DataFrame, total: DataFrame | None = None, slots: int = 1) -> DataFrame:
+    """Calls, errors, cache hits and seconds per document; with ``total(doc_id, chunks)`` the seconds that the rest will take, at so many calls at once."""
+    m = answers.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if("hit").alias("cache_hits"), F.count_if(~F.col("hit")).alias("cache_misses"),
         F.avg(F.when(~F.col("hit"), F.col("seconds"))).alias("avg_seconds"), F.max("seconds").alias("max_seconds"), F.sum("seconds").alias("seconds"),
     )
+    if total is None:
+        return m
+    left = F.greatest(F.lit(0), F.col("total") - F.col("chunks"))
+    m = m.join(total.select("doc_id", F.col("chunks").alias("total")), "doc_id", "left")
+    return m.withColumn("eta_seconds", F.round(F.coalesce("avg_seconds", F.lit(0.0)) * F.coalesce(left, F.lit(0)) / max(1, slots), 1)).drop("total")

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.reuse import reused
 from quillgraph.operators import graph as G
 from quillgraph.operators import query as Q
+from quillgraph.operators.extraction import cache_rows
+from quillgraph.schemas import GRAPH_SCHEMA_VERSION, RELATION_SCHEMA_VERSION
 from quillgraph.sources import catalog, documents, export
 
-from .pipeline import build
+from .pipeline import build, run_statistics
 
 
 class NotReady(LookupError):
@@ -28,31 +33,59 @@ class GraphEngine:
 
     def add(self, path: str) -> DataFrame:
         """Read and process every file under a path; the catalog rows of the files."""
-        parsed = documents.read_documents(self.spark, path)
-        self.store.replace("parsed", parsed.select("path", "text", "pages", "format", "words", "error", "doc_id"))
-        return self._process(self.store.read("parsed").join(parsed.select("doc_id"), "doc_id", "left_semi"))
+        parsed = reused(documents.read_documents(self.spark, path))
+        self._log(parsed, "queued", 0.0)
+        self.store.replace("parsed", parsed.select("path", "size", "text", "pages", "format", "words", "error", "doc_id"))
+        return self._process(parsed)
 
-    def _process(self, parsed: DataFrame) -> DataFrame:
-        cache = self.store.read("llm_cache")
-        cache = cache.where(F.col("model") == self.model) if cache is not None else None
-        g = build(parsed.where("error is null"), self.settings, self.provider, self.model, cache)
-        nodes = reused(g.nodes)
-        self.store.replace("nodes", nodes.select(*[c for c in nodes.columns if c != "doc_id"], "doc_id"))
-        self.store.replace("links", g.links.select(*[c for c in g.links.columns if c != "doc_id"], "doc_id"))
-        from quillgraph.operators.extraction import cache_rows
-
-        if self.provider is not None:
-            self.store.append("llm_cache", cache_rows(g.answers, self.model))
-        stats = G.graph_stats(self.store.read("nodes"), self.store.read("links")).select("doc_id", F.col("nodes").alias("nc"), F.col("edges").alias("ec"), F.to_json(F.struct("nodes", "edges", "communities", "directed_edges", "association_edges")).alias("sj"))
-        now = F.current_timestamp()
-        rows = parsed.join(stats, "doc_id", "left").select(
-            F.col("doc_id").alias("id"), F.regexp_extract("path", r"([^/\\]+)$", 1).alias("name"), F.regexp_extract("path", r"(\.[^./\\]+)$", 1).alias("ext"), F.octet_length("text").cast("bigint").alias("size"),
-            F.when(F.col("error").isNull(), "done").otherwise("error").alias("status"), F.lit(self.settings.extraction_mode).alias("extraction_mode"), F.lit(None).cast("string").alias("progress_detail"), F.lit(1.0).alias("progress"),
-            "error", F.coalesce("nc", F.lit(0)).cast("int").alias("node_count"), F.coalesce("ec", F.lit(0)).cast("int").alias("edge_count"), F.col("sj").alias("stats_json"), now.alias("created_at"), now.alias("updated_at"),
+    def _log(self, parsed: DataFrame, status: str | Column, progress: float, extra: DataFrame | None = None) -> DataFrame:
+        """Append a status row for each document of ``parsed``; ``extra(doc_id, node_count, edge_count, stats_json)`` is of the last one.
+
+        A document keeps the time at which it was first added.
+        """
+        log = self.store.read("catalog")
+        rows = parsed.select("doc_id", "path", "size", "error")
+        if extra is not None:
+            rows = rows.join(extra, "doc_id", "left")
+        else:
+            rows = rows.withColumns({"node_count": F.lit(None).cast("int"), "edge_count": F.lit(None).cast("int"), "stats_json": F.lit(None).cast("string")})
+        if log is not None:
+            rows = rows.join(catalog.latest_status(log).where(F.col("status") != catalog.DELETED).select(F.col("id").alias("doc_id"), F.col("created_at").alias("since")), "doc_id", "left")
+        else:
+            rows = rows.withColumn("since", F.lit(None).cast("timestamp"))
+        now = F.lit(datetime.now(timezone.utc))
+        rows = rows.select(
+            F.col("doc_id").alias("id"), F.regexp_extract("path", r"([^/\\]+)$", 1).alias("name"), F.regexp_extract("path", r"(\.[^./\\]+)$", 1).alias("ext"), "size", (F.lit(status) if isinstance(status, str) else status).alias("status"),
+            F.lit(self.settings.extraction_mode).alias("extraction_mode"), F.lit(None).cast("string").alias("progress_detail"), F.lit(progress).alias("progress"), "error",
+            F.coalesce("node_count", F.lit(0)).cast("int").alias("node_count"), F.coalesce("edge_count", F.lit(0)).cast("int").alias("edge_count"), "stats_json", F.coalesce("since", now).alias("created_at"), now.alias("updated_at"),
         )
+        rows = reused(rows)
         self.store.append("catalog", rows)
         return rows
 
+    def _process(self, parsed: DataFrame) -> DataFrame:
+        began = time.time()
+        cache = self.store.read("llm_cache")
+        # Of answers to one question the last one saved holds.
+        cache = cache.where(F.col("model") == self.model).groupBy("cache_key").agg(F.max_by(F.struct("entities", "relations"), "saved_at").alias("x")).select("cache_key", "x.*") if cache is not None else None
+        good = parsed.where("error is null")
+
+        def answered(answers: DataFrame) -> None:
+            if self.provider is not None:
+                self.store.append("llm_cache", cache_rows(answers, self.model).withColumn("saved_at", F.lit(time.time())))
+
+        g = build(good, self.settings, self.provider, self.model, cache, step=lambda status, progress: self._log(good, status, progress), answered=answered)
+        nodes, links = reused(g.nodes), reused(g.links)
+        self.store.replace("nodes", nodes, good.select("doc_id"))
+        self.store.replace("links", links, good.select("doc_id"))
+        counts = G.graph_stats(nodes, links)
+        stats = run_statistics(g).join(counts, "doc_id", "left")
+        fields = [c for c in stats.columns if c != "doc_id"]
+        versions = [F.lit(GRAPH_SCHEMA_VERSION).alias("graph_schema_version"), F.lit(RELATION_SCHEMA_VERSION).alias("relation_schema_version")]
+        whole = F.struct(*fields, F.lit(self.settings.llm_concurrency).alias("llm_concurrency"), F.lit(round(time.time() - began, 3)).alias("pipeline_seconds"), *versions)
+        extra = stats.select("doc_id", F.col("nodes").alias("node_count"), F.col("edges").alias("edge_count"), F.to_json(whole).alias("stats_json"))
+        return self._log(parsed, F.when(F.col("error").isNull(), "done").otherwise("error"), 1.0, extra)
+
     def documents(self) -> DataFrame | None:
         log = self.store.read("catalog")
         return catalog.catalog_list(log) if log is not None else None
@@ -77,15 +110,8 @@ class GraphEngine:
         self.status(doc_id)
         for t in ("parsed", "nodes", "links"):
             self.store.delete(t, [doc_id])
-        log = self.store.read("catalog")
-        kept = log.where(F.col("id") != doc_id)
-        from pyspark.storagelevel import StorageLevel
-
-        kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
-        kept.count()
-        kept.write.mode("overwrite").parquet(f"{self.store.root}/catalog_next")
-        self.spark.read.parquet(f"{self.store.root}/catalog_next").write.mode("overwrite").parquet(f"{self.store.root}/catalog")
-        kept.unpersist()
+        last = catalog.get(self.store.read("catalog"), doc_id)
+        self.store.append("catalog", reused(catalog.status_row(last, F.lit(datetime.now(timezone.utc)), status=catalog.DELETED)))
 
     def reprocess(self, doc_id: str) -> DataFrame:
         if self.status(doc_id)["status"] not in catalog.FINAL:
@@ -121,7 +147,8 @@ class GraphEngine:
         return export.csv_zip(*self.graph(doc_id))
 
     def export_report(self, doc_id: str) -> str:
-        return export.markdown_report(self.status(doc_id)["name"], *self.graph(doc_id), llm_enabled=self.provider is not None)
+        status = self.status(doc_id)
+        return export.markdown_report(status["name"], *self.graph(doc_id), llm_enabled=self.provider is not None, stats=json.loads(status["stats_json"] or "{}"))
 
     def export_html(self, doc_id: str) -> str:
         nodes, links = self.graph(doc_id)

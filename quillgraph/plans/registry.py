@@ -459,7 +459,7 @@ SELECT doc_id, id, source, source_name, relation, relation_key, original_relatio
 )
 
 # The catalog.
-_STAGE = "coalesce(list_position(['queued', 'parsing', 'chunking', 'extracting', 'clustering', 'done', 'error'], status), 0)"
+_STAGE = "coalesce(list_position(['queued', 'parsing', 'chunking', 'extracting', 'clustering', 'done', 'error', 'deleted'], status), 0)"
 _LAST = f"last AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, {_STAGE} DESC, status DESC) AS rn FROM (SELECT DISTINCT * FROM catalog)) WHERE rn = 1)"
 _NOW = "2030-01-01 00:00:00"
 _add(

@@ -83,7 +83,7 @@ def markdown_report(name: str, nodes: DataFrame, links: DataFrame, llm_enabled:
     s = stats or {}
     rows = [
         ["Nodes", o["nodes"] if o else 0], ["Edges", o["edges"] if o else 0], ["Communities", o["communities"] if o else 0], ["Chunks", s.get("chunks", 0)], ["Raw model edges", s.get("llm_edges", 0)],
-        ["Raw co-occurrence edges", s.get("cooc_edges", 0)], ["Mode", "model and statistics" if llm_enabled else "statistics"], ["Assertions", o["directed_edges"] if o else 0], ["Associations", o["association_edges"] if o else 0],
+        ["Raw co-occurrence edges", s.get("cooc_edges", 0)], ["Mode", "model and statistics" if llm_enabled else "statistics"], ["Graph schema", f"v{s.get('graph_schema_version', 1)}"], ["Assertions", o["directed_edges"] if o else 0], ["Associations", o["association_edges"] if o else 0],
     ]
     out = [f"# {name}: graph report", "", "## Overview", "", *_table(["Metric", "Value"], rows)]
     out += ["## Central concepts", "", *_table(["Concept", "Type", "Degree", "Mentions"], [[r["name"], r["type"], r["degree"], r["mentions"]] for r in Q.god_nodes(nodes).orderBy("rank").collect()])]
@@ -93,7 +93,7 @@ def markdown_report(name: str, nodes: DataFrame, links: DataFrame, llm_enabled:
     keys = Q.key_relationships(nodes, links).orderBy("rank").collect()
     head = ["Source", "Relation", "Target", "Semantics", "Provenance", "Weight", "Confidence", "Evidence"]
     out += ["## Key relationships", "", *_table(head, [[r[c] for c in ("source_name", "relation", "target_name", "semantics", "provenance", "weight", "confidence", "snippet")] for r in keys])]
-    rel = Q.relation_histogram(links).orderBy(F.desc("n"), "relation").limit(15).collect()
+    rel = Q.top_relations(links).orderBy("rank").collect()
     out += ["## Relations", "", *_table(["Relation", "Count"], [[r["relation"], r["n"]] for r in rel])]
     how = "Relations stated in the text were found by a language model; associations by how near names stand." if llm_enabled else "Associations were found by how near names stand; no language model was asked."
     out += ["## Method", "", how, "", "## Questions to ask", "", "- Which concepts join two communities?", "- Which strong associations have no stated relation?", "- Which relations rest on a single piece of evidence?", ""]

@@ -181,6 +181,95 @@ def test_engine(spark, tmp_path):
     assert [r.name for r in e.documents().collect()] == ["b.doc"]
 
 
+def test_engine_keeps_its_history(spark, tmp_path):
+    """Sizes are of the files, the first time of a document stays, statuses are logged step by step, statistics reach the report, nothing is rewritten."""
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text(TEXT + "  \n\n\n\n")
+    asked = []
+    e = GraphEngine(spark, str(tmp_path / "store"), Settings(max_keywords=8))
+    e.add(str(src))
+    row = e.documents().first()
+    assert row["size"] == len((TEXT + "  \n\n\n\n").encode()) and row["progress"] == 1.0
+    log = [r.status for r in e.store.read("catalog").orderBy("updated_at").collect()]
+    assert log == ["queued", "extracting", "clustering", "done"]
+    stats = json.loads(row["stats_json"])
+    assert stats["chunks"] == 1 and stats["cooc_edges"] > 0 and stats["nodes"] == row["node_count"] and "| Chunks | 1 |" in e.export_report(row.id) and "| Graph schema | v2 |" in e.export_report(row.id)
+    before = {n.id for n in e.graph(row.id)[0].collect()}
+    e.reprocess(row.id)
+    again = e.documents().first()
+    assert again.created_at == row.created_at and again.updated_at > row.updated_at and {n.id for n in e.graph(row.id)[0].collect()} == before
+    # Rows of a run without its entry, as after a crash, don't count.
+    nodes = e.store.read("nodes")
+    nodes.withColumn("run", F.lit("broken")).withColumn("bucket", e.store._bucket(F.col("doc_id"))).write.mode("append").partitionBy("bucket").parquet(str(tmp_path / "store/nodes"))
+    assert e.store.read("nodes").count() == len(before)
+    e.store.compact("nodes")
+    assert e.store.read("nodes", row.id).count() == len(before) and {n.id for n in e.graph(row.id)[0].collect()} == before
+    e.delete(row.id)
+    assert e.documents().count() == 0 and e.store.read("nodes").count() == 0 and e.sweep() == 0
+    with pytest.raises(NotReady):
+        e.graph(row.id)
+    e.add(str(src))
+    assert e.documents().first().created_at > row.created_at and asked == []
+
+
+def test_answers_are_saved_at_once_and_the_last_holds(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text(TEXT)
+    e = GraphEngine(spark, str(tmp_path / "store"), Settings(max_keywords=8), provider, "m")
+    e.add(str(src))
+    cache = e.store.read("llm_cache")
+    assert cache.count() == 1 and "saved_at" in cache.columns
+    e.reprocess(e.documents().first().id)
+    assert e.store.read("llm_cache").count() == 1  # asked once
+    stats = json.loads(e.documents().first().stats_json)
+    assert stats["llm_cache_hits"] == 1 and stats["llm_cache_misses"] == 0 and stats["llm_edges"] > 0
+
+
+def test_slots_halve_and_grow():
+    waits = []
+    s = E.Slots(8, sleep=waits.append)
+    for want in (4, 2, 1, 1):
+        with pytest.raises(E.Throttled), s:
+            raise E.Throttled("slow down")
+        assert s.allowed == want
+    assert waits == [0.5, 1.0, 2.0, 4.0] and s.events == 4
+    for n, want in ((3, 1), (1, 2), (4, 3), (6, 4)):
+        for _ in range(n):
+            with s:
+                pass
+        assert s.allowed == want
+    with pytest.raises(ValueError), s:
+        raise ValueError
+    assert s.allowed == 4 and s.active == 0
+
+
+def test_json_mode_first():
+    calls = []
+
+    def model(system, user, json_mode=False):
+        calls.append(json_mode)
+        if json_mode:
+            raise ValueError("no such mode")
+        return '{"entities": [{"name": "A"}], "relations": []}'
+
+    assert E.ask(model, "x", 0)["entities"][0]["name"] == "A" and calls == [True, False]
+
+    def busy(system, user, json_mode=False):
+        calls.append("busy")
+        raise E.Throttled("later")
+
+    assert E.ask(busy, "x", 0, E.Slots(sleep=lambda s: None))["error"] == "later" and calls[2:] == ["busy", "busy"]
+
+
+def test_run_metrics(spark):
+    rows = [("d", None, False, 2.0), ("d", "bad", False, 4.0), ("d", None, True, 0.0)]
+    a = spark.createDataFrame(rows, "doc_id string, error string, hit boolean, seconds double")
+    m = E.run_metrics(a, spark.createDataFrame([("d", 9)], "doc_id string, chunks int"), 2).first()
+    assert (m.chunks, m.errors, m.cache_hits, m.cache_misses, m.avg_seconds, m.max_seconds, m.eta_seconds) == (3, 1, 1, 2, 3.0, 4.0, 9.0)
+
+
 def test_catalog(spark):
     t = lambda h: datetime(2024, 1, 1, h)
     log = spark.createDataFrame([("a", "queued", t(1)), ("a", "done", t(3)), ("a", "parsing", t(2)), ("b", "parsing", t(1)), ("b", "queued", t(1)), ("b", "queued", t(1))], "id string, status string, updated_at timestamp")
