@@ -245,3 +245,17 @@ step AS (SELECT x.doc_id, x.s, x.e, x.hop, x.node AS a, y.node AS b FROM walk x
 SELECT step.doc_id, step.s AS "start", step.e AS "end", CAST(hop AS INTEGER) AS hop, a, b, min(l.id) AS link_id FROM step LEFT JOIN links l ON l.doc_id = step.doc_id AND ((l.source = a AND l.target = b) OR (l.source = b AND l.target = a)) GROUP BY ALL"""
 _TEXT = f"array_to_string(list_filter(list_transform(string_split_regex(text, '[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda l: {W.strip('l')}), lambda l: l <> ''), chr(10))"
 R._SQL["html_to_text"] = f"SELECT DISTINCT doc_id, md5({_TEXT}) AS digest FROM parsed WHERE format = 'html'"
+
+# The caps at their usual values.
+_DEFAULT = R._CAP.replace("rn <= 12", "rn <= 600").replace("rn <= 20", "rn <= 2500")
+
+
+def _capped(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    edges = reused(R._merged(s, d))
+    kept = reused(G.cap_nodes(M.merge_entities(T.raw_entities(s, d)), edges))
+    return kept, G.cap_edges(edges, kept)
+
+
+_add("node_cap_usual", lambda s, d: _capped(s, d)[0].select("doc_id", "key", "degree", "node_rank"), f"WITH {_DEFAULT} SELECT doc_id, key, degree, CAST(rn AS INTEGER) AS node_rank FROM nk")
+_add("edge_cap_usual", lambda s, d: _capped(s, d)[1].select("doc_id", "source", "target", "relation_key", "edge_rank"), f"WITH {_DEFAULT} SELECT doc_id, source, target, relation_key, CAST(rn AS INTEGER) AS edge_rank FROM ek")
+_add("community_top_usual", lambda s, d: Q.community_members(T.nodes(s, d)), R._SQL["community_top"].replace("rn <= 3", "rn <= 8").replace("count(*) - 3", "count(*) - 8"))

@@ -102,15 +102,43 @@ def markdown_report(name: str, nodes: DataFrame, links: DataFrame, llm_enabled:
 
 _PAGE = """<!doctype html>
 <html lang="en"><head><meta charset="utf-8"><title>@TITLE@</title>
-<style>body{font:14px sans-serif;margin:2em;max-width:70em}td,th{padding:.2em .8em;text-align:left;border-bottom:1px solid #ccc}</style></head>
-<body><h1>@TITLE@</h1><input id="q" placeholder="search"><p id="n"></p><table id="t"></table>
+<style>body{font:14px sans-serif;margin:2em;max-width:75em}td,th{padding:.2em .8em;text-align:left;border-bottom:1px solid #ccc}fieldset{display:inline-block;margin:.3em}tr.on{background:#eee}</style></head>
+<body><h1>@TITLE@</h1>
+<fieldset><legend>Find</legend><input id="q" placeholder="search"> <select id="view"><option>all</option><option>core</option></select></fieldset>
+<fieldset><legend>Links</legend><span id="tags"></span> <select id="rel"></select> weight <input id="w" type="number" min="0" value="0" size="4"> confidence <input id="c" type="number" min="0" max="1" step="0.05" value="0"></fieldset>
+<fieldset><legend>Path</legend><select id="from"></select> to <select id="to"></select> <span id="path"></span></fieldset>
+<p id="n"></p><table id="t"></table><h2 id="who"></h2><table id="nb"></table><h2>Communities</h2><p id="legend"></p>
 <script id="graph" type="application/json">@DATA@</script>
 <script>
-const g=JSON.parse(document.getElementById("graph").textContent),t=document.getElementById("t"),q=document.getElementById("q");
-function show(){const s=q.value.trim().toLowerCase();t.replaceChildren();let n=0;
-for(const x of g.nodes){if(s&&!x.name.toLowerCase().includes(s))continue;n++;const r=t.insertRow();for(const v of [x.name,x.type,x.degree,x.community])r.insertCell().textContent=v??"";}
-document.getElementById("n").textContent=n+" of "+g.nodes.length+" nodes, "+g.links.length+" links";}
-q.oninput=show;show();
+const G=JSON.parse(document.getElementById("graph").textContent),$=id=>document.getElementById(id),byId=new Map(G.nodes.map(x=>[x.id,x]));
+const end=(table,cells,head)=>{const r=table.insertRow();for(const v of cells){const c=document.createElement(head?"th":"td");c.textContent=v??"";r.append(c);}return r;};
+const option=(sel,v,text)=>{const o=document.createElement("option");o.value=v;o.textContent=text??v;sel.append(o);};
+const kind=l=>l.kind??((l.direction??(l.tag==="cooccurrence"?"undirected":"directed"))==="undirected"?"association":"assertion");
+const sure=l=>l.quality?.confidence??0;
+let chosen=null;
+for(const t of ["llm","cooccurrence","manual"]){const l=document.createElement("label"),i=document.createElement("input");i.type="checkbox";i.checked=true;i.id="tag-"+t;i.onchange=show;l.append(i,t+" ");$("tags").append(l);}
+option($("rel"),"","any relation");for(const r of [...new Set(G.links.map(l=>l.relation))].sort())option($("rel"),r);
+for(const x of [...G.nodes].sort((a,b)=>a.name.localeCompare(b.name))){option($("from"),x.id,x.name);option($("to"),x.id,x.name);}
+const near=new Map(G.nodes.map(x=>[x.id,[]]));
+for(const l of G.links)if(near.has(l.source)&&near.has(l.target)){near.get(l.source).push(l.target);near.get(l.target).push(l.source);}
+function reach(start){const seen=new Set([start]),todo=[start];while(todo.length)for(const y of near.get(todo.pop()))if(!seen.has(y)){seen.add(y);todo.push(y);}return seen;}
+function core(){let best=new Set();const left=new Set(byId.keys());while(left.size){const part=reach(left.values().next().value);for(const x of part)left.delete(x);if(part.size>best.size)best=part;}return best;}
+const CORE=core();
+function shown(){const on=t=>$("tag-"+t)?.checked,w=+$("w").value,c=+$("c").value,rel=$("rel").value;
+return G.links.filter(l=>(on(l.tag)||(l.tag==="both"&&(on("llm")||on("cooccurrence"))))&&(!rel||l.relation===rel)&&(kind(l)==="assertion"||l.weight>=w)&&sure(l)>=c);}
+function path(){const a=$("from").value,b=$("to").value,from=new Map([[a,null]]),todo=[a];
+for(let i=0;i<todo.length&&!from.has(b);i++)for(const y of [...near.get(todo[i])].sort())if(!from.has(y)){from.set(y,todo[i]);todo.push(y);}
+if(!from.has(b)){$("path").textContent="no path";return;}
+const way=[];for(let x=b;x!==null;x=from.get(x))way.unshift(byId.get(x).name);$("path").textContent=way.join(" – ");}
+function neighbours(links){$("nb").replaceChildren();$("who").textContent=chosen?"Neighbours of "+byId.get(chosen).name:"";if(!chosen)return;end($("nb"),["Name","Relation","Direction","Weight","Confidence","Snippet"],true);
+const rows=links.filter(l=>l.source===chosen||l.target===chosen).map(l=>[byId.get(l.source===chosen?l.target:l.source)?.name??"",l,l.direction==="undirected"?"both":l.source===chosen?"out":"in"]);
+rows.sort((a,b)=>(kind(b[1])==="assertion")-(kind(a[1])==="assertion")||sure(b[1])-sure(a[1])||b[1].weight-a[1].weight||a[0].localeCompare(b[0]));
+for(const [name,l,way] of rows)end($("nb"),[name,l.relation,way,l.weight,sure(l),l.snippet]);}
+function show(){const s=$("q").value.trim().toLowerCase(),links=shown();$("t").replaceChildren();end($("t"),["Name","Type","Degree","Community"],true);let n=0;
+for(const x of G.nodes){if((s&&!x.name.toLowerCase().includes(s))||($("view").value==="core"&&!CORE.has(x.id)))continue;n++;const r=end($("t"),[x.name,x.type,x.degree,x.community]);if(x.id===chosen)r.className="on";r.onclick=()=>{chosen=x.id;show();};}
+$("n").textContent=n+" of "+G.nodes.length+" nodes, "+links.length+" of "+G.links.length+" links";neighbours(links);}
+$("legend").textContent=[...new Set(G.nodes.map(x=>x.community))].sort((a,b)=>a-b).map(c=>c+" ("+G.nodes.filter(x=>x.community===c).length+")").join(", ");
+for(const id of ["q","view","rel","w","c"])$(id).oninput=show;$("from").onchange=$("to").onchange=path;show();
 </script></body></html>
 """
 
