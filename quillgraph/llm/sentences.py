@@ -44,10 +44,10 @@ STARTERS = set(
 
 BEGIN, BODY, LEAD, LEAD_END, INNER, INNER_END = range(6)
 N_STATES = 6
-# Events: an end mark, an end mark at which the unit goes on unless a quotation was led in, quotation marks, a hard line
-# end, any other text.
-TEXT, STOP, OPEN, CLOSE, LINE, SPEAKER = range(6)
-N_EVENTS = 6
+# Events: an end mark, quotation marks, a closing mark with a speaker's clause after it, one that perhaps has such a clause
+# in a script without case, a hard line end, any other text.
+TEXT, STOP, OPEN, CLOSE, LINE, SPEAKER, PERHAPS = range(7)
+N_EVENTS = 7
 
 
 def _compile() -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +72,11 @@ def _compile() -> tuple[np.ndarray, np.ndarray]:
     to[INNER_END, SPEAKER] = BODY
     to[LEAD_END, CLOSE], out[LEAD_END, CLOSE] = BEGIN, 1
     to[LEAD_END, SPEAKER] = BODY
+    # Without case a clause after the mark is the speaker's if the quotation stands first in its unit; one that was led in
+    # by its speaker ends as others do.
+    for s in range(N_STATES):
+        as_ = SPEAKER if s in (LEAD, LEAD_END) else CLOSE
+        to[s, PERHAPS], out[s, PERHAPS] = to[s, as_], out[s, as_]
     return to, out
 
 
@@ -126,7 +131,7 @@ def _kind(text: str, m: re.Match, n: int, soft: set[int]) -> int:
     c = g[0]
     i, j = m.span()
     if c == "\n":
-        return TEXT if i in soft else LINE
+        return LINE
     if c in "“”" and i and text[i - 1] in "€¬ÅÂâ":
         return TEXT  # half of a garbled dash or quotation mark
     if c in "“„«「『‹":
@@ -210,46 +215,26 @@ def _closing(text: str, j: int, n: int) -> int:
     if nxt.islower():
         return CLOSE if text[k + 1 : k + 2].isupper() else SPEAKER
     if k == j and nxt.isalnum() and (_CJK.search(text, max(0, j - 12), j + 24)):
-        return SPEAKER_CJK if nxt != "と" else SPEAKER
+        return PERHAPS if nxt != "と" else SPEAKER
     if nxt.isalpha() and not nxt.isupper():
-        return SPEAKER_CJK  # scripts without case: only where the quotation stands first
+        return PERHAPS if text[j : j + 1] != "と" else SPEAKER
     return CLOSE
 
 
-SPEAKER_CJK = -1
-
-
 def _events(text: str) -> tuple[list[int], list[int]]:
-    """Classes and end offsets of the events; TEXT events only where the state can depend on them."""
+    """Classes and end offsets of the events; what stands between two of them is a TEXT event."""
     soft = _soft_breaks(text)
     kinds: list[int] = []
     ends: list[int] = []
     n, last = len(text), 0
-    depth_lead = False  # for caseless scripts: does the open quotation stand first in its unit?
-    fresh, quoted = True, False
     for m in _EVENT.finditer(text):
         i, j = m.span()
         if i > last and not text[last:i].isspace():
             kinds.append(TEXT)
             ends.append(i)
-            fresh = False
-        k = _kind(text, m, n, soft)
-        if k == SPEAKER_CJK:
-            # A quotation with the speaker after it, unless it was led in and ended by its own end mark.
-            k = SPEAKER if depth_lead or text[j : j + 1] in "と" else CLOSE
-        if k == OPEN:
-            if not quoted:
-                depth_lead, quoted = fresh, True
-            fresh = False
-        elif k in (CLOSE, SPEAKER):
-            quoted = False
-            fresh = k == CLOSE and text[i - 1 : i] in ".!?…。！？؟।;" 
-        elif k == LINE:
-            fresh, quoted = True, False
-        elif k == STOP:
-            fresh = not quoted
-        kinds.append(k)
-        ends.append(j)
+        if m.group() != "\n" or i not in soft:  # a break within a sentence is white space
+            kinds.append(_kind(text, m, n, soft))
+            ends.append(j)
         last = j
     return kinds, ends
 
