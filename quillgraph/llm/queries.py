@@ -67,7 +67,7 @@ def p4_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _noise(spark: SparkSession, d: str) -> DataFrame:
-    return scans.scan_noise(table(spark, d, "parsed"), [table(spark, d, "graph_evidence").select("text"), table(spark, d, "graph_nodes").select("name")])
+    return scans.scan_noise(table(spark, d, "parsed"), [])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

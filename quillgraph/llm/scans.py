@@ -6,14 +6,19 @@ that are wrapped, and the text is put together again as paragraphs.
 * Furniture: page numbers by their form and their place beside headers or in a sequence; headers by a boosted
   classifier of a line and its neighbours. Lines that bear a page number beside their text are its positive examples,
   lines of texts that aren't wrapped its negative ones, of both at most ``SAMPLE_LINES``.
-* Broken words: a mark at the line end is a break if the halves joined are a word of the corpus, and a hyphen if the
-  compound is one.
+* Broken words: a boosted classifier of the two halves at a line end tells a break from a hyphen that stays, by how often
+  the corpus has the halves joined, hyphened and by themselves, and by their form. Words of the corpus that are torn at
+  random places are its examples of breaks, its hyphened words those of the others; of some the count is hidden, as of
+  words that the corpus hasn't seen.
 * Misread characters: words that the rest of the corpus doesn't have get candidates through an inverted join of their
-  padded trigrams with those of the corpus's words; a boosted ranking, trained on ``SAMPLE_WORDS`` words of the corpus
-  to which confusions of characters were done, chooses the candidate or none.
+  padded trigrams with those of the corpus's words; a boosted ranking chooses the candidate or none. Its positive
+  examples are words of the corpus to which confusions of characters were done, its negative ones rare words of texts
+  that aren't scans, names and slips of the pen among them; their candidates come from the same join. No candidate is
+  ruled out beforehand: that other changes than confusions are hardly misreadings is what the ranking learns from them.
 
-The corpus's words are counted over all other texts and names, the words of headers over all scans. The two bounded
-samples go to the driver, and the words of headers, which are a feature of the classifier.
+The corpus's words are counted over all texts of other formats, the words of headers over all scans. The bounded samples
+(``SAMPLE_TEXTS``, ``SAMPLE_LINES``, ``SAMPLE_WORDS``) go to the driver, and the words of headers, which are a feature of
+the classifier.
 
 Defined cases: null and empty texts have no noise; a text that isn't wrapped is no scan, overlong lines of a wrapped
 one are neither headers nor page numbers, and their unbroken runs hold no words; a word without a candidate is misread
@@ -26,10 +31,12 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_rows, written
@@ -38,6 +45,7 @@ from .names import edit_distance
 from .sentences import _soft_breaks
 
 SAMPLE_TEXTS, SAMPLE_LINES, SAMPLE_WORDS = 1_500, 4_000, 3_000
+EXAMPLES = 6  # candidates of a word that the ranking is trained with
 KNOWN = 3  # occurrences that make a word known
 WIDTH = 110  # longer lines aren't lines of a wrapped text
 # What scanning makes of characters (right, read).
@@ -45,6 +53,7 @@ CONFUSIONS = [
     ("e", "c"), ("c", "e"), ("o", "0"), ("i", "l"), ("l", "i"), ("l", "1"), ("i", "1"), ("t", "f"), ("f", "t"), ("u", "ii"), ("s", "5"), ("g", "9"), ("d", "cl"),
     ("h", "b"), ("b", "h"), ("m", "rn"), ("rn", "m"), ("w", "vv"), ("é", "6"), ("b", "6"), ("B", "8"), ("S", "5"), ("O", "0"), ("I", "l"), ("l", "I"), ("l", "|"),
     ("fi", "ﬁ"), ("fl", "ﬂ"), ("h", "li"), ("n", "ri"), ("cl", "d"), ("ii", "u"), ("n", "u"), ("u", "n"), ("a", "o"), ("y", "v"), ("v", "y"), ("z", "2"), ("q", "g"), ("g", "q"),
+    ("ä", "a"), ("ö", "o"), ("ü", "u"), ("ü", "ii"), ("ß", "b"),
 ]
 HYPHENS = "-\xad‐¬"
 
@@ -214,19 +223,18 @@ def _asks(text: str, heads: frozenset[str], model: Boosted | None) -> list[tuple
         one = _clean(first + second)
         out.append((a, "break" if mark != "-" else "joined" if second[0].islower() else "compound", one, b, len(first.lstrip("'’‘"))))
         if mark == "-":
-            out.append((a, "hyphened", _clean(first + "-" + second), b, 0))
+            out += [(a, "hyphened", _clean(first + "-" + second), b, 0), (a, "first", _clean(first), b, 0), (a, "second", _clean(second), b, 0)]
     return out
 
 
 def corpus_words(texts: list[DataFrame]) -> DataFrame:
-    """``(word, n)`` of the words, in lower case, of one-column frames of text, with ``KNOWN`` occurrences or more."""
+    """``(word, n)`` of the words, in lower case, of one-column frames of text, each text counting once."""
     parts = [t.select(F.explode(F.array_distinct(F.split(F.lower(F.col(t.columns[0])), _SPLIT))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")) for t in texts]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     strip = F.regexp_replace(F.regexp_replace("word", r"^['’‘\-‐­¬]+|['’‘\-‐­¬]+$", ""), r"['’]s$", "")
-    out = out.withColumn("word", strip).where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
-    return out.where(F.col("n") >= KNOWN)
+    return out.withColumn("word", strip).where(r"word rlike '^[\\p{L}\\p{M}\\p{N}][\\p{L}\\p{M}\\p{N}\'’·-]*$'").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def explained(right: str, read: str) -> tuple[int, int]:
@@ -256,36 +264,56 @@ def candidate_features(read: str, right: str, n: int, shared: int) -> list[float
     return [conf, other, shared / (max(len(read), len(right)) + 2), math.log1p(n), float(any(c.isdigit() for c in read)), len(read), abs(len(read) - len(right)), float(read[:1] == right[:1])]
 
 
-def train_ranking(sample: list[tuple[str, int]], seed: int = 7) -> Boosted | None:
-    """The ranking of candidates, from words to which confusions are done, against other words that share trigrams."""
-    words = [(w, n) for w, n in sample if len(w) > 3 and w.isalpha()]
-    if len(words) < 20:
-        return None
+def misreadings(known: list[str], seed: int = 7) -> list[tuple[str, str]]:
+    """(read, right): words to which one or two confusions were done."""
     rng = random.Random(seed)
-    index: dict[str, list[int]] = {}
-    for k, (w, _) in enumerate(words):
-        for g in trigrams(w):
-            index.setdefault(g, []).append(k)
-    x, y = [], []
-    for k, (w, n) in enumerate(words):
+    out = []
+    for w in known:
         read = w
         for _ in range(1 + (rng.random() < 0.15)):
             fits = [(a, b) for a, b in CONFUSIONS if a in read and a.islower()]
-            if fits:
-                a, b = rng.choice(fits)
-                at = rng.choice([m.start() for m in re.finditer(re.escape(a), read)])
-                read = read[:at] + b.lower() + read[at + len(a) :]
-        # A word that isn't in the corpus though right (a new name) has no candidate: one character is another letter.
-        new = list(w)
-        new[rng.randrange(len(new))] = rng.choice("abdehiklmnoprstuvxz")
-        for got, truth in ((read, k), ("".join(new) + rng.choice(["", "e", "en"]), -1)):
-            if got == w:
-                continue
-            near = Counter(j for g in trigrams(got) for j in index.get(g, ()))
-            for j, shared in near.most_common(6):
-                x.append(candidate_features(got, words[j][0], words[j][1], shared))
-                y.append(float(j == truth))
-    return Boosted(rounds=50).fit(np.array(x), np.array(y)) if sum(y) > 10 else None
+            if not fits:
+                break
+            a, b = rng.choice(fits)
+            at = rng.choice([m.start() for m in re.finditer(re.escape(a), read)])
+            read = read[:at] + b.lower() + read[at + len(a) :]
+        if read != w:
+            out.append((read, w))
+    return out
+
+
+def train_ranking(words: DataFrame, known: list[str], rare: list[str]) -> Boosted | None:
+    """The ranking of candidates, from misreadings of known words and from rare words that are right, with their candidates in ``words``."""
+    pairs = misreadings([w for w in known if len(w) > 3 and w.isalpha()])
+    truth = {read: right for read, right in pairs} | {w: "" for w in rare if len(w) > 3}
+    if len(pairs) < 20:
+        return None
+    odd = words.sparkSession.createDataFrame([(w,) for w in truth], "word string")
+    w = Window.partitionBy("word").orderBy(F.desc("shared"), F.desc("n"), "right")
+    best = candidates(odd, words).withColumn("k", F.row_number().over(w)).where(F.col("k") <= EXAMPLES).orderBy("word", "right").collect()  # EXAMPLES of each word of the sample
+    y = [float(truth[r["word"]] == r["right"]) for r in best]
+    if sum(y) < 10:
+        return None
+    return Boosted(rounds=60).fit(np.array([candidate_features(r["word"], r["right"], r["n"], r["shared"]) for r in best]), np.array(y))
+
+
+def join_features(joined: int, hyphened: int, first: int, second: int, lower: bool, size: int) -> list[float]:
+    """Of two halves with a hyphen between them: counts in the corpus, and whether the second one begins small."""
+    return [math.log1p(joined), math.log1p(hyphened), math.log1p(first), math.log1p(second), float(lower), float(joined > 0), float(hyphened > 0), min(size, 20)]
+
+
+def train_joins(known: list[tuple[str, int]], hyphened: list[tuple[str, int]], counts: dict[str, int], seed: int = 11) -> Boosted | None:
+    """The classifier of breaks, from known words torn at random and hyphened words; ``counts`` are of the halves."""
+    rng = random.Random(seed)
+    x, y = [], []
+    for w, n, label in [(w, n, 1.0) for w, n in known if len(w) > 5 and w.isalpha()] + [(w, n, 0.0) for w, n in hyphened]:
+        at = rng.randrange(2, len(w) - 1) if label else w.index("-")
+        first, second = w[:at], w[at + (not label) :]
+        seen = n if rng.random() < 0.7 else 0
+        small = True if label else rng.random() < 0.5
+        x.append(join_features(seen if label else counts.get(first + second, 0), 0 if label else seen, counts.get(first, 0), counts.get(second, 0), small, len(w)))
+        y.append(label)
+    return Boosted(rounds=30).fit(np.array(x), np.array(y)) if min(sum(y), len(y) - sum(y)) >= 20 else None
 
 
 def trigrams(w: str) -> list[str]:
@@ -293,18 +321,18 @@ def trigrams(w: str) -> list[str]:
     return sorted({s[i : i + 3] for i in range(len(s) - 2)})
 
 
-def corrections(odd: DataFrame, words: DataFrame, model: Boosted | None) -> DataFrame:
-    """``odd(word)``, words that the corpus doesn't know, with ``right``, the word that was misread, where there is one.
+def candidates(odd: DataFrame, words: DataFrame) -> DataFrame:
+    """``odd(word)`` with words of the corpus that may have been misread as it: (word, right, n, shared).
 
     A candidate shares all but six of a word's trigrams, two at least: one confusion changes up to four of them and
     two are allowed where they meet. So it shares one of the word's rarest trigrams, the number of which is the total
     less what must be shared, plus one; only those are looked up, and the rest are counted within the joined row.
     """
     gram = lambda c: F.transform(F.sequence(F.lit(1), F.char_length(c) + 2), lambda i: F.substring(F.concat(F.lit("##"), c, F.lit("##")), i, 3))
-    right = words.where(F.char_length("word").between(2, 40)).select(F.col("word").alias("right"), "n", F.array_distinct(gram(F.col("word"))).alias("rt"))
+    right = words.where(F.char_length("word") >= 2).select(F.col("word").alias("right"), "n", F.array_distinct(gram(F.col("word"))).alias("rt"))
     index = right.select("right", "n", "rt", F.explode("rt").alias("gram"))
     use = index.groupBy("gram").agg(F.count(F.lit(1)).alias("use"))
-    left = odd.where(F.char_length("word").between(2, 40)).select("word", F.array_distinct(gram(F.col("word"))).alias("lt"))
+    left = odd.where(F.char_length("word") >= 2).select("word", F.array_distinct(gram(F.col("word"))).alias("lt"))
     each = left.select("word", F.explode("lt").alias("gram")).join(use, "gram")
     ranked = each.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("use", "gram"))).alias("g"))
     need = F.greatest(F.lit(2), F.size("lt") - 6)
@@ -313,17 +341,26 @@ def corrections(odd: DataFrame, words: DataFrame, model: Boosted | None) -> Data
     left = left.withColumn("gram", F.explode(F.slice(F.transform("g", lambda x: x["gram"]), F.lit(1), F.greatest(F.lit(1), F.size("g") - F.col("need") + 1))))
     shared = F.size(F.array_intersect("lt", "rt"))
     both = left.join(index, "gram").where("abs(length(word) - length(right)) <= 2").withColumn("shared", shared).where("shared >= need")
-    both = both.select("word", "right", "n", "shared").distinct()
+    return both.select("word", "right", "n", "shared").distinct()
 
-    def rank(word, right_word, n, shared):
-        conf, other = explained(right_word, word)
-        if other > 1 or not conf:
-            return []
-        f = candidate_features(word, right_word, n, shared)
-        p = float(model.probability(np.array([f]))[0]) if model else float(other == 0)
-        return [(word, right_word, p)] if p > 0.5 else []
 
-    ranked = map_rows(both, rank, "word string, right string, p double", ["word", "right", "p"])
+def corrections(odd: DataFrame, words: DataFrame, model: Boosted | None) -> DataFrame:
+    """``odd(word)``, words that the corpus doesn't know, with ``right``, the word that was misread, where the ranking finds one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for b in batches:
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("word", "right", "n", "shared"))))
+            if not rows:
+                continue
+            x = np.array([candidate_features(*r) for r in rows])
+            p = model.probability(x) if model else (x[:, 0] > 0) & (x[:, 1] == 0)
+            keep = [(w, right, float(q)) for (w, right, _, _), q in zip(rows, p) if q > 0.5]
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keep), (pa.string(), pa.string(), pa.float64()))], ["word", "right", "p"])
+
+    ranked = candidates(odd, words).mapInArrow(run, "word string, right string, p double")
     return ranked.groupBy("word").agg(F.max(F.struct("p", "right")).alias("x")).select("word", "x.right")
 
 
@@ -367,7 +404,8 @@ def scan_noise(parsed: DataFrame, other_texts: list[DataFrame]) -> DataFrame:
     """
     pdf = parsed.where("format = 'pdf' and text is not null")
     scans = pdf.where(F.col("text").contains("\n")).select("doc_id", "text")
-    words = checkpointed(corpus_words([parsed.where("format <> 'pdf'").select("text"), *other_texts]))
+    counted = written(corpus_words([parsed.where("format <> 'pdf'").select("text"), *other_texts]))
+    words = counted.where(F.col("n") >= KNOWN)
     # Examples of headers, from lines with a page number beside them, and of others, out of SAMPLE_TEXTS of each format.
 
     def lines(text, kind):
@@ -402,18 +440,35 @@ def scan_noise(parsed: DataFrame, other_texts: list[DataFrame]) -> DataFrame:
     asked = written(asked.withColumn("low", F.lower("word")))
     low = asked.where("word <> ''").select(F.col("low").alias("word")).distinct()
     unknown = checkpointed(low.join(words, "word", "left_anti"))
-    sample = [(r["word"], r["n"]) for r in words.withColumn("h", F.xxhash64("word")).orderBy("h").limit(SAMPLE_WORDS).collect()]
-    ranking = train_ranking(sample)
+    drawn = lambda df, k=SAMPLE_WORDS: [(r["word"], r["n"]) for r in df.withColumn("h", F.xxhash64("word")).orderBy("h").limit(k).collect()]
+    known = drawn(words)
+    ranking = train_ranking(words, [w for w, _ in known], [w for w, _ in drawn(counted.where(F.col("n") < KNOWN))])
     fixed = corrections(unknown, words, ranking)
     state = checkpointed(unknown.join(fixed, "word", "left").select(F.col("word").alias("low"), F.lit(1).alias("odd"), "right"))
     furn = asked.where("kind in ('header', 'pageno')").select("doc_id", "line_no", F.col("kind").alias("noise"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("right"))
     # Words that are known need nothing more; breaks do, known or not.
-    a = asked.where("kind in ('break', 'joined', 'compound', 'hyphened')").join(state, "low", "left")
-    # A hyphen stands for a break unless the compound is known and the joined word isn't.
-    comp = a.where("kind = 'hyphened'").select("doc_id", "line_no", F.col("odd").isNull().alias("compound_known")).distinct()
-    br = a.where("kind in ('break', 'joined', 'compound')").join(comp, ["doc_id", "line_no"], "left")
-    known = F.col("odd").isNull() | F.col("right").isNotNull()
-    broken = br.where((F.col("kind") == "break") | ((F.col("kind") == "joined") & (known | ~F.coalesce("compound_known", F.lit(False)))) | ((F.col("kind") == "compound") & F.col("odd").isNull()))
+    a = asked.where("kind in ('break', 'joined', 'compound', 'hyphened', 'first', 'second')").join(state, "low", "left").join(words.select(F.col("word").alias("low"), "n"), "low", "left")
+    whole = F.col("kind").isin("break", "joined", "compound")
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    br = a.groupBy("doc_id", "line_no").agg(
+        F.max(F.when(whole, F.struct("kind", "word", "next_line", "first", "odd", "right", F.coalesce("n", F.lit(0)).alias("n")))).alias("x"), of("hyphened").alias("hyphened"), of("first").alias("n_first"), of("second").alias("n_second")
+    ).select("doc_id", "line_no", "x.*", "hyphened", "n_first", "n_second")
+    # A joined word that was misread counts as often as the right one, which the corpus has.
+    br = br.withColumn("n", F.when(F.col("right").isNotNull(), F.greatest(F.lit(KNOWN), F.col("n"))).otherwise(F.col("n"))).where("kind is not null")
+    torn = drawn(words.where("word rlike '^[^-]{2,}-[^-]{2,}$'"))
+    parts = {q for w, _ in torn for q in (w.split("-")[0], w.split("-")[1], w.replace("-", ""))}
+    halves = words.join(F.broadcast(words.sparkSession.createDataFrame([(q,) for q in parts] or [("",)], "word string")), "word", "left_semi")
+    joins = train_joins(known, torn, {r["word"]: r["n"] for r in halves.collect()})
+
+    def is_break(doc_id, line_no, kind, word, next_line, first, odd, right, n, hyphened, n_first, n_second):
+        if kind == "break":
+            return [(doc_id, line_no, word, next_line, first, odd, right)]
+        x = join_features(n, hyphened, n_first, n_second, kind == "joined", len(word))
+        ok = float(joins.probability(np.array([x]))[0]) > 0.5 if joins else n > 0 or kind == "joined" and not hyphened
+        return [(doc_id, line_no, word, next_line, first, odd, right)] if ok else []
+
+    columns = ["doc_id", "line_no", "kind", "word", "next_line", "first", "odd", "right", "n", "hyphened", "n_first", "n_second"]
+    broken = written(map_rows(br.select(*columns), is_break, "doc_id string, line_no int, word string, next_line int, first int, odd int, right string"))
     hyphen = broken.select("doc_id", "line_no", F.lit("hyphen").alias("noise"), "word", F.coalesce("right", F.lower("word")).alias("right"))
     digit = F.col("word").rlike(r"\p{L}[0-9|]\p{L}|\p{Ll}[0-9|]+$|^[0-9|]\p{Ll}{2}|[ﬁﬂ]")
     mis = asked.where("kind = 'word'").join(state, "low").where(F.col("right").isNotNull() | digit)

@@ -180,12 +180,15 @@ def test_boosting_learns():
     assert ((m.probability(x[1500:]) > 0.5) == y[1500:]).mean() > 0.9
 
 
-def test_ranking_on_held_out_words():
+def test_ranking_on_held_out_words(spark):
     rng = random.Random(1)
     words = list({"".join(rng.choices("bcdefghlmnorstuw", k=rng.randint(5, 10))) for _ in range(900)})
-    model = scans.train_ranking([(w, 5) for w in words[:600]])
     import numpy as np
 
+    # Words of the corpus with other endings are rare words that are right.
+    rare = [w[:-1] + c for w, c in zip(words[:300], rng.choices("pqvxyz", k=300))]
+    model = scans.train_ranking(spark.createDataFrame([(w, 5) for w in words], "word string, n bigint"), words[:600], rare)
+
     right = 0
     tried = [w for w in words[600:] if "o" in w][:80]
     for w in tried:
@@ -193,6 +196,33 @@ def test_ranking_on_held_out_words():
         f = scans.candidate_features(read, w, 5, len(set(scans.trigrams(w)) & set(scans.trigrams(read))))
         right += model.probability(np.array([f]))[0] > 0.5
     assert right > 0.9 * len(tried)
+    # Other letters at the end make names and slips, which the ranking has seen as right.
+    other = [(w[:-1] + "x", w) for w in words[600:] if len(w) > 6 and not scans.explained(w, w[:-1] + "x")[0]][:80]
+    f = [scans.candidate_features(a, b, 5, len(set(scans.trigrams(a)) & set(scans.trigrams(b)))) for a, b in other]
+    assert (model.probability(np.array(f)) > 0.5).mean() < 0.1
+
+
+def test_joins_on_held_out_words():
+    """Torn words are told from hyphened ones, also where the corpus has neither."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choices("abcdefghilmnoprstu", k=n))
+    known = [(word(rng.randint(7, 12)), rng.randint(3, 90)) for _ in range(400)]
+    torn = [(f"{word(rng.randint(3, 6))}-{word(rng.randint(4, 7))}", rng.randint(3, 20)) for _ in range(200)]
+    counts = {q: rng.randint(20, 90) for w, _ in torn[:150] for q in w.split("-")}
+    model = scans.train_joins(known, torn, counts)
+    p = lambda *x: model.probability(__import__("numpy").array([scans.join_features(*x)]))[0]
+    assert p(12, 0, 0, 0, True, 9) > 0.5 > p(0, 8, 40, 40, True, 11)
+    assert p(0, 0, 0, 0, True, 9) > 0.5 > p(0, 0, 50, 50, False, 11)
+    assert scans.train_joins(known, torn[:5], counts) is None
+
+
+def test_any_misreading_has_its_candidate(spark):
+    """Candidates are found whatever was changed, and in words of any length; none is ruled out by a list of confusions."""
+    right = ["knowledgeable", "parliamentary", "donaudampfschifffahrtsgesellschaftskapitaenspatent", "park"]
+    words = spark.createDataFrame([(w, 9) for w in right], "word string, n bigint")
+    odd = {"knawledgeable": right[0], "parlicmentary": right[1], right[2].replace("kap", "kzp"): right[2], "parc": "park"}
+    got = {(r.word, r["right"]) for r in scans.candidates(spark.createDataFrame([(w,) for w in odd], "word string"), words).collect()}
+    assert got >= set(odd.items())
 
 
 def scan_texts():
