@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quillgraph.functions.reuse import reused, shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,49 +50,14 @@ def form_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
 
 
-def _checkpoint_folder(df: DataFrame) -> str:
-    """The checkpoint folder of the session's cluster, set if need be."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not at:
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix="quillgraph-")
-        sc.setCheckpointDir(at)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from it: its lineage ends there, whoever is lost.
 
-    The folder is the one in ``spark.checkpoint.dir`` that the cluster shares; only where it is unset, as in tests, a
-    local one is made.
+    The folder is the one in ``spark.checkpoint.dir`` that the cluster shares; a local one is made only under a local master.
     """
-    _checkpoint_folder(df)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the checkpoint folder and read from it: smaller there than a checkpoint of many rows.
-
-    The table is removed when the driver's session ends.
-    """
-    import atexit
-    import uuid
-
-    spark = df.sparkSession
-    folder = _checkpoint_folder(df)
-    path = f"{folder}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-
-    def remove() -> None:
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001
-            pass  # the session is gone, and its folder with it
-
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+#: ``df`` written as a table in the checkpoint folder and read from it: smaller there than a checkpoint of many rows.
+written = reused

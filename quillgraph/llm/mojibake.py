@@ -311,18 +311,24 @@ def odd_words(text: str) -> dict[str, tuple[frozenset, bool]]:
     """Words that hold a garbled sequence: the pairs that make one of them, and whether it stands for more than signs."""
     out: dict[str, tuple[frozenset, bool]] = {}
     slavic = not _SLAVIC.isdisjoint(text)
-    for e, (n, pairs) in odd_automaton().iter(f" {text.translate(_CLASSES)} "):
-        i = e - n + 1  # of the text, as one character was put before it
-        if slavic and text[i] in "ŠŽ":
-            continue  # a capital of the language
-        m = _word(text, i, i + n - 2)
-        if m:
-            w = m.group()
-            had = out.get(w, (frozenset(), False))
-            out[w] = (had[0] | pairs, had[1] or not set(text[i : i + n - 2]) <= SIGNS)
+    # Only what stands around characters beyond ASCII is looked at; a space stands for the ends of the text.
+    for run in _AROUND.finditer(text):
+        a, z = run.start() - 1, run.end() + 2
+        part = " " * (a < 0) + text[max(0, a) : z].translate(_CLASSES) + " " * (z > len(text))
+        for e, (n, pairs) in odd_automaton().iter(part):
+            i = a + e - n + 2  # past the neighbour
+            if slavic and text[i] in "ŠŽ":
+                continue  # a capital of the language
+            m = _word(text, i, i + n - 2)
+            if m:
+                w = m.group()
+                had = out.get(w, (frozenset(), False))
+                out[w] = (had[0] | pairs, had[1] or not set(text[i : i + n - 2]) <= SIGNS)
     return out
 
 
+_AROUND = re.compile(r"[^\x00-\x7f]+(?:[\x00-\x7f]{1,3}[^\x00-\x7f]+)*")
+_RUNS = re.compile(r"[^\x00-\x7f]{2,}")
 _ODD_CYRILLIC = re.compile(r"[рсг][°±»µ¶§©®¬¤¦](?=[рсг])|[а-яА-Я][°±µ¶§©®¬¤¦](?=[а-я])|[A-Za-z]г[§©±¤¶ÿ°](?=[a-z])")
 _WORD_AT = re.compile(r"[^\s,;:()\[\]/]+")
 #: Marks that stand alone, at the head of a word or within one only where another character was.
@@ -518,12 +524,13 @@ def repair(text: str | None) -> tuple[bool, str | None, str]:
     for _ in range(3):
         matches: dict[str, list[int]] = {}
         low: list[tuple[int, int]] = []
-        for e, (size, readers) in automaton().iter(now):
-            for reader, lower in readers:
-                if not lower:
-                    matches.setdefault(reader, []).append(e - size + 1)
-                elif reader == "cp1252":
-                    low.append((e - size + 1, size))
+        for run in _RUNS.finditer(now):  # sequences are of characters beyond ASCII
+            for e, (size, readers) in automaton().iter(now, *run.span()):
+                for reader, lower in readers:
+                    if not lower:
+                        matches.setdefault(reader, []).append(e - size + 1)
+                    elif reader == "cp1252":
+                        low.append((e - size + 1, size))
         # What was garbled twice was so by one reader.
         spans = {r: s for r, at in matches.items() if (not pairs or pairs[0].endswith(r)) and (s := _spans(now, r, at))}
         if not spans:

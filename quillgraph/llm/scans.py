@@ -241,6 +241,15 @@ def explained(right: str, read: str) -> tuple[int, int]:
     """(confusions, other edits) that turn a word into what was read."""
     conf = other = 0
     table = _CONFUSED
+    # What is alike at both ends needs no alignment.
+    a, most = 0, min(len(right), len(read))
+    while a < most and right[a] == read[a]:
+        a += 1
+    z = 0
+    while z < most - a and right[-1 - z] == read[-1 - z]:
+        z += 1
+    if (right[a : len(right) - z], read[a : len(read) - z]) in table:
+        return 1, 0
     for tag, a, b, c, d in SequenceMatcher(None, right, read, autojunk=False).get_opcodes():
         if tag == "equal":
             continue
@@ -282,19 +291,23 @@ def misreadings(known: list[str], seed: int = 7) -> list[tuple[str, str]]:
     return out
 
 
-def train_ranking(words: DataFrame, known: list[str], rare: list[str]) -> Boosted | None:
-    """The ranking of candidates, from misreadings of known words and from rare words that are right, with their candidates in ``words``."""
+def ranking_examples(known: list[str], rare: list[str]) -> dict[str, str]:
+    """What was read, with the right word, or "" where it is right itself: misreadings of known words, and rare words."""
     pairs = misreadings([w for w in known if len(w) > 3 and w.isalpha()])
-    truth = {read: right for read, right in pairs} | {w: "" for w in rare if len(w) > 3}
-    if len(pairs) < 20:
+    return {w: "" for w in rare if len(w) > 3} | dict(pairs) if len(pairs) >= 20 else {}
+
+
+def train_ranking(found: DataFrame, truth: dict[str, str]) -> Boosted | None:
+    """The ranking of candidates, from the ``EXAMPLES`` likest candidates in ``found`` of each of the examples."""
+    if not truth:
         return None
-    odd = words.sparkSession.createDataFrame([(w,) for w in truth], "word string")
+    own = found.join(F.broadcast(found.sparkSession.createDataFrame([(w,) for w in truth], "word string")), "word", "left_semi")
     w = Window.partitionBy("word").orderBy(F.desc("shared"), F.desc("n"), "right")
-    best = candidates(odd, words).withColumn("k", F.row_number().over(w)).where(F.col("k") <= EXAMPLES).orderBy("word", "right").collect()  # EXAMPLES of each word of the sample
+    best = own.withColumn("k", F.row_number().over(w)).where(F.col("k") <= EXAMPLES).orderBy("word", "right").collect()
     y = [float(truth[r["word"]] == r["right"]) for r in best]
     if sum(y) < 10:
         return None
-    return Boosted(rounds=60).fit(np.array([candidate_features(r["word"], r["right"], r["n"], r["shared"]) for r in best]), np.array(y))
+    return Boosted(rounds=40).fit(np.array([candidate_features(r["word"], r["right"], r["n"], r["shared"]) for r in best]), np.array(y))
 
 
 def join_features(joined: int, hyphened: int, first: int, second: int, lower: bool, size: int) -> list[float]:
@@ -340,12 +353,13 @@ def candidates(odd: DataFrame, words: DataFrame) -> DataFrame:
     left = left.join(ranked, "word").withColumn("need", need)
     left = left.withColumn("gram", F.explode(F.slice(F.transform("g", lambda x: x["gram"]), F.lit(1), F.greatest(F.lit(1), F.size("g") - F.col("need") + 1))))
     shared = F.size(F.array_intersect("lt", "rt"))
-    both = left.join(index, "gram").where("abs(length(word) - length(right)) <= 2").withColumn("shared", shared).where("shared >= need")
-    return both.select("word", "right", "n", "shared").distinct()
+    both = left.hint("merge").join(index, "gram").where("abs(length(word) - length(right)) <= 2").withColumn("shared", shared).where("shared >= need")
+    # Two confusions are four edits at most; a short word holds but one.
+    return both.where("levenshtein(word, right, 4) between 0 and least(4, greatest(2, floor(length(word) / 3)))").select("word", "right", "n", "shared").distinct()
 
 
-def corrections(odd: DataFrame, words: DataFrame, model: Boosted | None) -> DataFrame:
-    """``odd(word)``, words that the corpus doesn't know, with ``right``, the word that was misread, where the ranking finds one."""
+def corrections(found: DataFrame, model: Boosted | None) -> DataFrame:
+    """Words with ``right``, the word that was misread, where the ranking chooses one of the candidates in ``found``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
@@ -360,7 +374,7 @@ def corrections(odd: DataFrame, words: DataFrame, model: Boosted | None) -> Data
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keep), (pa.string(), pa.string(), pa.float64()))], ["word", "right", "p"])
 
-    ranked = candidates(odd, words).mapInArrow(run, "word string, right string, p double")
+    ranked = found.mapInArrow(run, "word string, right string, p double")
     return ranked.groupBy("word").agg(F.max(F.struct("p", "right")).alias("x")).select("word", "x.right")
 
 
@@ -442,8 +456,11 @@ def scan_noise(parsed: DataFrame, other_texts: list[DataFrame]) -> DataFrame:
     unknown = checkpointed(low.join(words, "word", "left_anti"))
     drawn = lambda df, k=SAMPLE_WORDS: [(r["word"], r["n"]) for r in df.withColumn("h", F.xxhash64("word")).orderBy("h").limit(k).collect()]
     known = drawn(words)
-    ranking = train_ranking(words, [w for w, _ in known], [w for w, _ in drawn(counted.where(F.col("n") < KNOWN))])
-    fixed = corrections(unknown, words, ranking)
+    # Examples and words that are asked for get their candidates in one join.
+    truth = ranking_examples([w for w, _ in known], [w for w, _ in drawn(counted.where(F.col("n") < KNOWN))])
+    examples = unknown.sparkSession.createDataFrame([(w,) for w in truth] or [("",)], "word string")
+    found = written(candidates(unknown.unionByName(examples), words))
+    fixed = corrections(found, train_ranking(found, truth))
     state = checkpointed(unknown.join(fixed, "word", "left").select(F.col("word").alias("low"), F.lit(1).alias("odd"), "right"))
     furn = asked.where("kind in ('header', 'pageno')").select("doc_id", "line_no", F.col("kind").alias("noise"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("right"))
     # Words that are known need nothing more; breaks do, known or not.

@@ -81,7 +81,7 @@ def shares(text: str, lang: str | None) -> tuple:
     common = FUNCTION_WORDS[lang]
     content = [w for w in words if w not in common and not w.isdigit()]
     m = max(1, len(content))
-    top = max((c for w, c in count.items() if w not in common and not w.isdigit()), default=0) / m
+    top = max(Counter(content).values(), default=0) / m
     pair = max(Counter(zip(content, content[1:])).values(), default=0) / max(1, m - 1)
     lines = [x.strip() for x in low.split("\n") if x.strip()]
     duplicates = 1 - len(set(lines)) / len(lines)
@@ -97,11 +97,10 @@ def shares(text: str, lang: str | None) -> tuple:
             sentence = _WORD.findall(line[at : e.end()])
             at = e.end()
             if len(sentence) >= 2:
-                own = Counter(sentence)
-                most = max((c for w, c in own.items() if w not in common), default=1)
-                if most <= max(1, len(sentence) // 8):
+                rest = [w for w in sentence if w not in common]
+                if len(set(rest)) == len(rest) or max(Counter(rest).values()) <= max(1, len(sentence) // 8):
                     form += len(sentence) if len(sentence) >= 4 else 0
-                    if sum(w in common for w in sentence) >= 0.15 * len(sentence):
+                    if len(sentence) - len(rest) >= 0.15 * len(sentence):
                         prose += len(sentence)
     if fun < 0.1 and form > 0.8 * m_words:
         lang, prose = "other", form

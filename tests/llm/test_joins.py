@@ -187,7 +187,9 @@ def test_ranking_on_held_out_words(spark):
 
     # Words of the corpus with other endings are rare words that are right.
     rare = [w[:-1] + c for w, c in zip(words[:300], rng.choices("pqvxyz", k=300))]
-    model = scans.train_ranking(spark.createDataFrame([(w, 5) for w in words], "word string, n bigint"), words[:600], rare)
+    truth = scans.ranking_examples(words[:600], rare)
+    odd = spark.createDataFrame([(w,) for w in truth], "word string")
+    model = scans.train_ranking(scans.candidates(odd, spark.createDataFrame([(w, 5) for w in words], "word string, n bigint")), truth)
 
     right = 0
     tried = [w for w in words[600:] if "o" in w][:80]
