@@ -45,6 +45,7 @@ from .names import edit_distance
 from .sentences import _soft_breaks
 
 SAMPLE_TEXTS, SAMPLE_LINES, SAMPLE_WORDS = 1_500, 4_000, 3_000
+FREQUENT = 20_000  # known words that are sent to the tasks so that they needn't be joined
 EXAMPLES = 6  # candidates of a word that the ranking is trained with
 KNOWN = 3  # occurrences that make a word known
 WIDTH = 110  # longer lines aren't lines of a wrapped text
@@ -210,18 +211,18 @@ def words_of(lines: list[str], skip: dict[int, str]) -> tuple[list[tuple[int, st
     return words, breaks
 
 
-def _asks(text: str, heads: frozenset[str], model: Boosted | None) -> list[tuple[int, str, str, int, int]]:
-    """What a text asks of the corpus: (line, kind, word, next line, length of the first half)."""
+def _asks(text: str, heads: frozenset[str], model: Boosted | None, frequent: frozenset[str] = frozenset()) -> list[tuple[int, str, str, int, int]]:
+    """What a text asks of the corpus: (line, kind, word, next line, length of the first half); nothing of words that are ``frequent`` there."""
     if not wrapped(text):
         return []
     lines = text.split("\n")
     skip = furniture(lines, heads, model)
     words, breaks = words_of(lines, skip)
     out = [(i, kind, "", -1, 0) for i, kind in skip.items()]
-    out += [(i, "word", w, -1, 0) for i, w in words if len(w) > 1 and any(c.isalpha() for c in w) and not re.fullmatch(r"[A-Za-z]{0,2}\d+\w?|\d+\w{0,3}", w)]
+    out += [(i, "word", w, -1, 0) for i, w in words if len(w) > 1 and w.lower() not in frequent and any(c.isalpha() for c in w) and not re.fullmatch(r"[A-Za-z]{0,2}\d+\w?|\d+\w{0,3}", w)]
     for a, b, first, second, mark in breaks:
         one = _clean(first + second)
-        out.append((a, "break" if mark != "-" else "joined" if second[0].islower() else "compound", one, b, len(first.lstrip("'’‘"))))
+        out.append((a, "break" if mark != "-" else "joined" if second[0].islower() or len(first) > 1 and first.isupper() and second.isupper() else "compound", one, b, len(first.lstrip("'’‘"))))
         if mark == "-":
             out += [(a, "hyphened", _clean(first + "-" + second), b, 0), (a, "first", _clean(first), b, 0), (a, "second", _clean(second), b, 0)]
     return out
@@ -352,10 +353,11 @@ def candidates(odd: DataFrame, words: DataFrame) -> DataFrame:
     # Trigrams that no word has are left out of the list but count as not shared.
     left = left.join(ranked, "word").withColumn("need", need)
     left = left.withColumn("gram", F.explode(F.slice(F.transform("g", lambda x: x["gram"]), F.lit(1), F.greatest(F.lit(1), F.size("g") - F.col("need") + 1))))
-    shared = F.size(F.array_intersect("lt", "rt"))
-    both = left.hint("merge").join(index, "gram").where("abs(length(word) - length(right)) <= 2").withColumn("shared", shared).where("shared >= need")
-    # Two confusions are four edits at most; a short word holds but one.
-    return both.where("levenshtein(word, right, 4) between 0 and least(4, greatest(2, floor(length(word) / 3)))").select("word", "right", "n", "shared").distinct()
+    # The cheaper conditions first; two confusions are four edits at most, and a short word holds but one.
+    near = F.expr("abs(length(word) - length(right)) <= 2 and levenshtein(word, right, 4) between 0 and least(4, greatest(2, floor(length(word) / 3)))")
+    shared = F.when(near, F.size(F.array_intersect("lt", "rt"))).otherwise(-1)
+    both = left.hint("merge").join(index, "gram").withColumn("shared", shared).where("shared >= need")
+    return both.select("word", "right", "n", "shared").distinct()
 
 
 def corrections(found: DataFrame, model: Boosted | None) -> DataFrame:
@@ -449,8 +451,10 @@ def scan_noise(parsed: DataFrame, other_texts: list[DataFrame]) -> DataFrame:
         rows = [[*r["x"][:6], share(r["folded"]), *r["x"][7:]] for r in [*pos, *neg]]
         model = Boosted(rounds=30).fit(np.array(rows), np.array([1.0] * len(pos) + [0.0] * len(neg)))
 
+    # The most frequent words are known; no text need ask for them.
+    frequent = frozenset(r["word"] for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect())
     names = ["doc_id", "line_no", "kind", "word", "next_line", "first"]
-    asked = map_rows(scans, lambda d, t: [(d, *a) for a in _asks(t, heads, model)], "doc_id string, line_no int, kind string, word string, next_line int, first int", names)
+    asked = map_rows(scans, lambda d, t: [(d, *a) for a in _asks(t, heads, model, frequent)], "doc_id string, line_no int, kind string, word string, next_line int, first int", names)
     asked = written(asked.withColumn("low", F.lower("word")))
     low = asked.where("word <> ''").select(F.col("low").alias("word")).distinct()
     unknown = checkpointed(low.join(words, "word", "left_anti"))
