@@ -78,7 +78,7 @@ def _run_stats(s: SparkSession, d: str) -> DataFrame:
     return c.select("id", "size", stats.alias("stats"))
 
 
-_DURATION = """CASE WHEN x < 60 THEN format('{:.1f}', x) || 's' WHEN x < 3600 THEN CAST(floor(x / 60) AS BIGINT) || 'm ' || CAST(floor(x - floor(x / 60) * 60 + 0.5) AS BIGINT) || 's'
+_DURATION = """CASE WHEN x < 60 THEN format('{:.1f}', floor(x * 10 + 0.5) / 10) || 's' WHEN x < 3600 THEN CAST(floor(x / 60) AS BIGINT) || 'm ' || CAST(floor(x - floor(x / 60) * 60 + 0.5) AS BIGINT) || 's'
 ELSE CAST(floor(x / 3600) AS BIGINT) || 'h ' || lpad(CAST(CAST(floor((x - floor(x / 3600) * 3600) / 60 + 0.5) AS BIGINT) AS VARCHAR), 2, '0') || 'm' END"""
 _add(
     "stage_timings",
